@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import byte_bpe, exact_dedup, quality_rules, sharding
+from gridloom.llm import byte_bpe, exact_dedup, near_dedup, quality_rules, sharding
 from gridloom.llm._shared import table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_filter(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -67,7 +71,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_exact_dedup, op4_sharding, op5_byte_bpe)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_quality_rules, op3_exact_dedup, op4_sharding, op5_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
