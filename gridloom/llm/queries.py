@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import byte_bpe, exact_dedup, near_dedup, quality_rules, sharding
+from gridloom.llm import byte_bpe, exact_dedup, language_id, mixing, near_dedup, quality_rules, sharding, url_filter
 from gridloom.llm._shared import table
 
 
@@ -48,6 +48,60 @@ def bpe_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+URL_RULES = (
+    url_filter.UrlRule("allow", "org", "/"),
+    url_filter.UrlRule("block", "example.org", "/es/"),
+    url_filter.UrlRule("block", "example.org", "/en/1"),
+    url_filter.UrlRule("allow", "com", "/fr/"),
+    url_filter.UrlRule("block", "com", "/de/"),
+)
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+_OP7_STRENGTH = """SELECT 1.0 / greatest(least(coalesce(((r - b * p) / nullif(p * (1 - p), 0) - (g - 1)) / nullif(m - q / nullif(m, 0) - (g - 1), 0), 0.0), 0.5), 0.000001) - 1.0 AS s, coalesce(p, 0.0) AS p
+FROM (SELECT *, b / nullif(m, 0) AS p FROM (SELECT CAST(count(*) AS DOUBLE) AS g, CAST(coalesce(sum(n), 0) AS DOUBLE) AS m, CAST(coalesce(sum(k), 0) AS DOUBLE) AS b,
+  CAST(coalesce(sum(n * n), 0) AS DOUBLE) AS q, coalesce(sum(CAST(k AS DOUBLE) * k / n), 0.0) AS r FROM {0} WHERE n > 0))"""
+OP7_SQL = rf"""
+WITH u AS (SELECT page_id, url, coalesce(instr(url, '://'), 0) AS pos FROM pages),
+v AS (SELECT page_id, pos, regexp_extract(substr(url, pos + 3), '^[^/?#]*') AS raw, substr(url, pos + 3) AS rest FROM u),
+w AS (SELECT page_id, CASE WHEN pos > 0 THEN translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+             CASE WHEN pos > 0 THEN regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') ELSE '' END AS path FROM v),
+o AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
+h AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k, array_to_string(list_slice(string_split(host, '.'), -2, NULL), '.') AS domain, list_extract(string_split(host, '.'), -1) AS suffix
+      FROM w LEFT JOIN o USING (page_id) GROUP BY host),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY domain, suffix),
+x AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY suffix),
+xr AS (SELECT suffix, (k + s * p) / (n + s) AS xrate FROM x, ({_OP7_STRENGTH.format("x")})),
+dr AS (SELECT domain, suffix, (k + s * xrate) / (n + s) AS drate FROM d JOIN xr USING (suffix), (SELECT s FROM ({_OP7_STRENGTH.format("d")}))),
+hr AS (SELECT host, n, s, (k + s * drate) / (n + s) AS rate FROM h JOIN dr USING (domain, suffix), (SELECT s FROM ({_OP7_STRENGTH.format("h")}))),
+f AS (SELECT page_id, host, path, rate - 1.645 * sqrt(rate * (1 - rate) / (n + s + 1)) AS bound,
+             CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+                  WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+                  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+                  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+                  WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
+      FROM w LEFT JOIN hr USING (host))
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM f
+"""
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    content = language_id.train(docs, ~held_out)
+    out = language_id.identify(docs, content)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup
@@ -71,8 +125,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_quality_rules, op3_exact_dedup, op4_sharding, op5_byte_bpe)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_quality_rules, op3_exact_dedup, op4_sharding, op5_byte_bpe, op6_mixing, op7_url_filter, op8_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op3_exact_dedup": OP3_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op7_url_filter": OP7_SQL}
