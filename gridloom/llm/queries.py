@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import byte_bpe, exact_dedup, language_id, lm_scoring, mixing, near_dedup, quality_rules, sharding, url_filter
+from gridloom.llm import byte_bpe, exact_dedup, language_id, lm_scoring, mixing, near_dedup, quality_classifier, quality_rules, sharding, url_filter
 from gridloom.llm._shared import table
 
 
@@ -109,6 +109,13 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    stats = quality_classifier.document_statistics(table(spark, sf_dir, "documents"))
+    model = quality_classifier.fit(stats, table(spark, sf_dir, "labels"), ~held_out)
+    return quality_classifier.classify(stats, model, 0.7).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup
@@ -132,7 +139,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_quality_rules, op3_exact_dedup, op4_sharding, op5_byte_bpe, op6_mixing, op7_url_filter, op8_language_id, op9_lm_scoring)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_quality_rules, op3_exact_dedup, op4_sharding, op5_byte_bpe, op6_mixing, op7_url_filter, op8_language_id, op9_lm_scoring, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
