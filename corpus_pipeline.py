@@ -1,21 +1,52 @@
-"""The corpus pipeline: quality rules, exact dedup, near dedup, mixing and encoding, one written table after each."""
+"""The corpus pipeline: quality rules, exact dedup, near dedup, mixing and encoding, one written table after each.
+
+The filtering stages drop rows and change nothing else. The mixing stage replaces each document by the
+words the mix takes from it, one row for each pass. The last stage encodes and decodes what is left.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import quality_rules
-from gridloom.llm._shared import written
+from gridloom.llm import byte_bpe, exact_dedup, mixing, near_dedup, quality_rules
+from gridloom.llm._shared import few, written
+from gridloom.llm.queries import bpe_vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = quality_rules.quality_filter(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    judged = quality_rules.quality_filter(docs, carry=COLUMNS)
+    return judged.where("kept").select("carried.*")
+
+
+def _without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
+    return docs.join(few(written(dropped.where("NOT kept").select("doc_id"), name)), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, exact_dedup.exact_dedup(docs), "copies")
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, near_dedup.near_dedup(docs), "near-copies")
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_texts(docs, mixing.mix(docs, weights=(1, 2, 3)))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(docs, *bpe_vocabulary()).drop("lossless")
 
 
-STAGES = [("quality_rules", rules_stage)]
+STAGES = [
+    ("quality_rules", rules_stage),
+    ("exact_dedup", exact_stage),
+    ("near_dedup", near_stage),
+    ("mixing", mixing_stage),
+    ("byte_bpe", encoding_stage),
+]
 ORACLE_SQL = None
 
 

@@ -81,11 +81,11 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at - at[0]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash for each word, in order, and the number of words of each row."""
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word starts and ends in the bytes, in order, and the number of words of each row."""
     n = len(offsets) - 1
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(n, np.int64)
     inside = ~_space()[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -98,7 +98,14 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
     lasts = lasts[lasts >= 0]
     ends[lasts] = inside[lasts]
     end = np.flatnonzero(ends) + 1
-    counts = np.searchsorted(start, offsets[1:]) - np.searchsorted(start, offsets[:-1])
+    return start, end, np.searchsorted(start, offsets[1:]) - np.searchsorted(start, offsets[:-1])
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash for each word, in order, and the number of words of each row."""
+    start, end, counts = word_spans(data, offsets)
+    if not len(start):
+        return np.zeros(0, np.uint64), counts
     if len(data) <= _BLOCK:
         return _span_hashes(data, start, end, lower), counts
     out, i = np.empty(len(start), np.uint64), 0

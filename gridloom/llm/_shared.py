@@ -57,3 +57,12 @@ def text_bytes(df: DataFrame, text: str = "text") -> int:
 def fan_out(spark: SparkSession, nbytes: int, per_task: int) -> int:
     """Partitions so that each holds about ``per_task`` bytes; never fewer than the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nbytes // per_task))
+
+
+#: Rows of one or two long columns that may be broadcast: some 16 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """Marked for broadcasting if it has been counted and is below the bound; else Spark's own choice of join."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

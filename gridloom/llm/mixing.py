@@ -22,10 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridloom.llm._hashing import slices, text_buffers, word_spans
 from gridloom.llm._shared import WORD, written
 
 BLOCK = 64
@@ -168,3 +170,41 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), shards: int = 6
     out = laid.join(taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
     out = out.join(F.broadcast(known), "src")
     return out.select("doc_id", "size", F.when(F.col("src") != _NULL, F.col("src")).alias("source"), "source_size", "target", "first", "taken", "uses")
+
+
+def mixed_texts(docs: DataFrame, mixed: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The words that the mix takes, as rows of ``docs`` (doc_id, text, lang, source, n_chars).
+
+    A document gives one row for each pass that uses any of its blocks: the text of the blocks used in that
+    many passes or more, runs of neighbouring blocks as they stand and a space between runs.
+    """
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    taken = mixed.where("taken > 0").select("doc_id", "first", "uses")
+    rows = docs.join(taken, "doc_id").select("doc_id", "text", "lang", "source", "first", "uses.block", "uses.times")
+
+    def cut(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: int, blocks: np.ndarray, times: np.ndarray) -> Iterator[str]:
+        for turn in range(1, int(times.max()) + 1):
+            held = blocks[times >= turn]
+            breaks = np.flatnonzero(np.diff(held) > 1)
+            parts = []
+            for a, b in zip(np.append(0, breaks + 1), np.append(breaks, len(held) - 1), strict=True):
+                lo, hi = max(0, int(held[a]) * block - first), min(len(start), (int(held[b]) + 1) * block - first)
+                if hi > lo:
+                    parts.append(data[start[lo] : end[hi - 1]].tobytes().decode())
+            yield " ".join(parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 1):
+                data, offsets = text_buffers(batch.column(1))
+                start, end, counts = word_spans(data, offsets)
+                ends = np.cumsum(counts)
+                out = []
+                doc, lang, source, first, blocks, times = (batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6))
+                for i in range(batch.num_rows):
+                    lo = ends[i] - counts[i]
+                    for x in cut(data, start[lo : ends[i]], end[lo : ends[i]], first[i], np.array(blocks[i]), np.array(times[i])):
+                        out.append({"doc_id": doc[i], "text": x, "lang": lang[i], "source": source[i], "n_chars": len(x)})
+                yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())]))
+
+    return rows.mapInArrow(run, schema)

@@ -30,13 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm._hashing import U64, mix, slices, text_buffers, word_hashes
-from gridloom.llm._shared import written
+from gridloom.llm._shared import few, written
 
 WORDS = 5
 SKETCHES = 24
 PICKS = 4
 BLOCK = 60_000  # shingles of the members that meet in one group of round two
-BROADCAST_ROWS = 1_000_000  # of two longs each: 16 MB
 
 
 def shingles(words: np.ndarray, width: int = WORDS) -> np.ndarray:
@@ -180,16 +179,11 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], names=["u", "v"])
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """Marked for broadcasting if it has been counted and is below the bound."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def node_texts(wanted: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """A written table (node, text) of the wanted (node, first_id): each text once, by one scan."""
     body = docs.select(F.col(doc_id).cast("long").alias("id"), _node(F.col(text)).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     same = body["node"].eqNullSafe(wanted["node"]) & body["id"].eqNullSafe(wanted["first_id"])
-    return written(body.join(_few(wanted), same, "left_semi").select("node", "text").dropDuplicates(["node"]), "texts")
+    return written(body.join(few(wanted), same, "left_semi").select("node", "text").dropDuplicates(["node"]), "texts")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:

@@ -52,14 +52,14 @@ def _words(text: Column) -> Column:
     return F.when(F.octet_length(trimmed) > 0, F.split(trimmed, f"{SPACE}+")).otherwise(F.array().cast("array<string>"))
 
 
-def base_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
-    """One row a document: id, (text), n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words.
+def base_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row a document: id, (text), carried (a struct of the ``carry`` columns), n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words.
 
     Everything stays inside the row, so nothing is shuffled. Repeated windows are found by sorting the
     64-bit hashes of the 3-word windows; positions are only sorted for documents that do repeat a window.
     """
     at = lambda c, i: F.get(c, i)
-    df = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    df = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(*(carry or (doc_id,))).alias("carried"))
     df = df.withColumn("words", _words(F.col("text")))
     df = df.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.octet_length(F.btrim(x, F.lit(_BLANKS))) > 0))
     df = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
@@ -73,6 +73,7 @@ def base_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     df = df.select(
         "doc_id",
         "text",
+        "carried",
         F.size("words").cast("long").alias("n_words"),
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -98,9 +99,11 @@ def base_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     covered = F.aggregate(
         F.transform("at", lambda x, k: F.least(F.lit(3), F.coalesce(x - at(F.col("at"), k - 1), F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x
     )
-    df = df.withColumn("n_repeat_words", F.when(F.col("at").isNull(), F.lit(0).cast("long")).otherwise(covered))
-    df = df.drop("windows", "n_distinct", "ranked", "at", *([] if keep_text else ["text"]))
-    return df.where(F.spark_partition_id() >= 0)  # always true; keeps later filters from being rewritten into copies of the array expressions
+    covered = F.when(F.col("at").isNull(), F.lit(0).cast("long")).otherwise(covered)
+    # The partition number is never negative. An expression that is not deterministic keeps later filters above
+    # this projection; below it they would be rewritten into many copies of the array expressions.
+    df = df.withColumn("n_repeat_words", F.coalesce(F.when(F.spark_partition_id() >= 0, covered), F.lit(0).cast("long")))
+    return df.drop("windows", "n_distinct", "ranked", "at", *([] if keep_text else ["text"]), *([] if carry else ["carried"]))
 
 
 def order_rules(docs: DataFrame, rules: list[Rule], doc_id: str = "doc_id", text: str = "text", sample_rows: int = 1000, seed: int = 7) -> list[tuple[Rule, float, float]]:
@@ -131,10 +134,10 @@ def cascade(stats: DataFrame, rules: list[Rule]) -> DataFrame:
     return stats.withColumn("rejected_by", verdict.otherwise(F.lit(None).cast("string")) if rules else F.lit(None).cast("string"))
 
 
-def quality_filter(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: list[Rule] | None = None, sample_rows: int = 1000, keep_text: bool = False) -> DataFrame:
+def quality_filter(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: list[Rule] | None = None, sample_rows: int = 1000, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Statistics, ``base_failed``, ``rejected_by`` and ``kept`` for every document, ``rejected_by`` by the estimated order."""
     rules = default_rules() if rules is None else rules
-    stats = base_statistics(docs, doc_id, text)
+    stats = base_statistics(docs, doc_id, text, carry=carry)
     ordered = [x[0] for x in order_rules(docs, rules, doc_id, text, sample_rows)]
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     out = cascade(stats, ordered).withColumn("base_failed", failed)
