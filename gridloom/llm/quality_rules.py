@@ -39,7 +39,7 @@ def default_rules(text: str = "text") -> list[Rule]:
         Rule("too_short", n < 50),
         Rule("repeats", F.col("n_repeat_words") * 100 > n * 50),
         Rule("symbols", F.col("n_symbols") * 10 > n),
-        Rule("duplicate_lines", F.col("n_dup_lines") * 10 > F.col("n_lines") * 3),
+        Rule("duplicate_lines", F.col("n_dup_lines") * 2 > F.col("n_lines")),
         Rule("word_length", (F.col("word_chars") < n * 3) | (F.col("word_chars") > n * 12)),
         Rule("exclamations", F.regexp_count(F.col(text), F.lit("!")) * 5 > n),
         Rule("shouting", F.regexp_count(F.col(text), F.lit(r"\p{Lu}\p{Lu}")) * 2 > n),

@@ -129,7 +129,7 @@ s AS (SELECT d.doc_id, text, w, CAST(len(w) AS BIGINT) AS n_words, CAST(length(a
              CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_rep, 0) AS BIGINT) AS n_repeat_words
       FROM d LEFT JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_failed,
-             n_symbols * 10 > n_words OR n_dup_lines * 10 > n_lines * 3 OR word_chars < n_words * 3 OR word_chars > n_words * 12
+             n_symbols * 10 > n_words OR n_dup_lines * 2 > n_lines OR word_chars < n_words * 3 OR word_chars > n_words * 12
              OR len(regexp_extract_all(text, '!')) * 5 > n_words
              OR len(regexp_extract_all(text, '\p{Lu}\p{Lu}')) * 2 > n_words
              OR len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) * 10 < n_words * 8 AS rejected
