@@ -39,8 +39,9 @@ def first_map(shards: int) -> list[int]:
 def rebalance(shard_of: list[int], load: list[int], shards: int) -> list[int]:
     """An edited copy of the map whose shards hold nearly equal loads; slots stay where they can.
 
-    Overfull shards shed their largest slots that fit the excess, the shed slots go to the emptiest shards,
-    largest first, and single moves then go on while they bring the fullest and the emptiest closer.
+    Shards above the mean by more than a thousandth shed their largest slots that fit the excess, the shed
+    slots go to the emptiest shards, largest first, and single moves then go on while they bring the fullest
+    and the emptiest closer.
     """
     out = list(shard_of)
     total = [0] * shards
@@ -51,7 +52,7 @@ def rebalance(shard_of: list[int], load: list[int], shards: int) -> list[int]:
         held[k].append(s)
     mean = sum(load) / shards
     loose = []
-    for k in range(shards):
+    for k in (k for k in range(shards) if total[k] > 1.001 * mean):
         for s in sorted(held[k], key=lambda s: (-load[s], s)):
             if 0 < load[s] <= total[k] - mean:
                 total[k] -= load[s]
