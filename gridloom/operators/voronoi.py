@@ -27,7 +27,10 @@ def _by_comparison(seeds: DataFrame, pixels: DataFrame) -> DataFrame:
 
 
 def _by_transform(seeds: DataFrame, pixels: DataFrame) -> DataFrame:
-    """Two passes: the nearest seed of each pixel's column, then the best column for each pixel of a row."""
+    """Two exact passes: the nearest seed of each pixel's column, then the best of the columns within reach.
+
+    The work grows with the pixels times the distance to their seed, not with the number of seeds.
+    """
     own = seeds.select(F.col("x").alias("px"), F.col("y").alias("py"), F.struct("y", "seed_id").alias("own"))
     col = Window.partitionBy("px").orderBy("py")
     up = F.last("own", ignorenulls=True).over(col.rowsBetween(Window.unboundedPreceding, 0))
@@ -35,14 +38,21 @@ def _by_transform(seeds: DataFrame, pixels: DataFrame) -> DataFrame:
     gap = lambda c: F.when(F.col(c).isNotNull(), F.struct(((F.col("py") - F.col(f"{c}.y")).cast("long") * (F.col("py") - F.col(f"{c}.y"))).alias("d"), (-F.col(f"{c}.seed_id")).alias("s")))
     near = pixels.join(own, ["px", "py"], "left").select("px", "py", up.alias("up"), down.alias("down"))
     near = near.select("px", "py", F.least(gap("up"), gap("down")).alias("near"))
-    rows = near.where("near IS NOT NULL").groupBy("py").agg(F.collect_list(F.struct("px", "near")).alias("row"))
+    # Any column's candidate bounds the distance, so only columns within its root matter. The bound comes from
+    # the nearest columns with a candidate on either side; one exchange by row serves all that follows.
+    row = Window.partitionBy("py").orderBy("px")
+    here = F.when(F.col("near").isNotNull(), F.struct("px", F.col("near.d").alias("d")))
+    left = F.last(here, ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, 0))
+    right = F.first(here, ignorenulls=True).over(row.rowsBetween(0, Window.unboundedFollowing))
+    reach = lambda c: (F.col("px") - F.col(f"{c}.px")).cast("long") * (F.col("px") - F.col(f"{c}.px")) + F.col(f"{c}.d")
+    bound = near.select("px", "py", left.alias("l"), right.alias("r")).select("px", "py", F.floor(F.sqrt(F.least(reach("l"), reach("r")).cast("double"))).cast("int").alias("radius"))
+    whole = near.groupBy("py").agg(F.sort_array(F.collect_list(F.struct("px", "near"))).alias("row"))
+    at = bound.join(whole, "py").withColumn("i", F.col("px") - F.col("row")[0]["px"])
+    some = F.filter(F.slice("row", F.greatest(F.col("i") - F.col("radius"), F.lit(0)) + 1, 2 * F.col("radius") + 1), lambda c: c["near"].isNotNull())
     best = F.array_min(
-        F.transform(
-            "row",
-            lambda c: F.struct(((c["px"] - F.col("px")).cast("long") * (c["px"] - F.col("px")) + c["near"]["d"]).alias("d"), c["near"]["s"].alias("s")),
-        )
+        F.transform(some, lambda c: F.struct(((c["px"] - F.col("px")).cast("long") * (c["px"] - F.col("px")) + c["near"]["d"]).alias("d"), c["near"]["s"].alias("s")))
     )
-    out = pixels.join(rows, "py").select("px", "py", best.alias("best"))
+    out = at.where("radius IS NOT NULL").select("px", "py", best.alias("best"))
     return out.select("px", "py", (-F.col("best.s")).alias("seed_id"), F.col("best.d").alias("dist2"))
 
 
