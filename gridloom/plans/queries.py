@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.padding import max_boundary_spacing
 from gridloom.operators import assign, field, seeds as seed_ops, topology, voronoi
-from gridloom.streaming.mesh import insert_batch
+from gridloom.streaming.mesh import Delaunay, insert_batch
 
 SIDE, PADDING = 64, 16
 _PLACED = {
@@ -166,6 +166,37 @@ def incremental_triangles(spark, sf_dir):
     return topology.triangles(raster.persist(), s)
 
 
+def _mesh(spark, sf_dir) -> Delaunay:
+    """Even ranks first, then odd ones; within a batch seeds are inserted by (x, y)."""
+    mesh = Delaunay(SIDE, SIDE, 1 << 20, PADDING, spark)
+    s = ranked(spark, sf_dir)
+    for k in (0, 1):
+        mesh.insert_deferred(s.where(F.col("seed_id") % 2 == k).select("x", "y", "value"))
+        if k == 0:
+            mesh.finalise_device()
+    return mesh
+
+
+def mesh_grid(spark, sf_dir):
+    return _mesh(spark, sf_dir).grid()
+
+
+def mesh_triangles(spark, sf_dir):
+    t = _mesh(spark, sf_dir).get_triangles()
+    s = F.sort_array(F.array("a", "b", "c"))
+    return t.select(s[0].alias("a"), s[1].alias("b"), s[2].alias("c"))
+
+
+def mesh_edges(spark, sf_dir):
+    return _mesh(spark, sf_dir).get_edges()
+
+
+def grid_summary(spark, sf_dir):
+    """Share of pixels outside every triangle, and the largest distance to a seed."""
+    none = F.sum((F.col("triangle_id") == assign.NO_TRIANGLE).cast("int"))
+    return grid(spark, sf_dir).agg(F.round(none / F.count(F.lit(1)) * 100, 6).alias("outside_percent"), F.round(F.sqrt(F.max("dist2").cast("double")), 6).alias("max_distance"))
+
+
 def padding_spacing(spark, sf_dir):
     return spark.createDataFrame([(p, max_boundary_spacing(p)) for p in range(65)], "p int, spacing int")
 
@@ -227,6 +258,8 @@ geo AS (SELECT qid, x, y, t, triangle_id, CAST(ax AS DOUBLE) AS ax, CAST(ay AS D
 ctr AS (SELECT *, ux * vy - uy * vx AS n, ux * ux + uy * uy AS u2, vx * vx + vy * vy AS v2 FROM geo),
 mid AS (SELECT *, ax + (v2 * (-(n * uy)) + u2 * (vy * n)) / (2.0 * (n * n)) AS ox, ay + (v2 * (n * ux) + u2 * (-(vx * n))) / (2.0 * (n * n)) AS oy FROM ctr),
 ans AS (SELECT qid, sqrt((x - ox) * (x - ox) + (y - oy) * (y - oy) + t * t) < sqrt(greatest((ax - ox) * (ax - ox) + (ay - oy) * (ay - oy), (bx - ox) * (bx - ox) + (by_ - oy) * (by_ - oy), (cx - ox) * (cx - ox) + (cy - oy) * (cy - oy))) AS inside, triangle_id FROM mid)"""
+_INSERTED_SQL = f"""{_triangle_sql()},
+ins AS (SELECT seed_id, CAST(row_number() OVER (ORDER BY seed_id % 2, x, y) - 1 AS INT) AS ins_id FROM seeds)"""
 
 SQL = {
     "seed_rank": f"WITH {_seed_sql()} SELECT seed_id, x, y, value FROM seeds",
@@ -254,6 +287,11 @@ SELECT x, y FROM mid WHERE NOT EXISTS (SELECT 1 FROM seeds s WHERE s.x = mid.x A
     "in_circumsphere": f"WITH {_SPHERE_SQL} SELECT qid, coalesce(inside, FALSE) AS inside, coalesce(triangle_id, -1) AS triangle_id FROM pts LEFT JOIN ans USING (qid)",
     "incremental_voronoi": f"WITH {_voronoi_sql(0)} SELECT * FROM vor",
     "incremental_triangles": f"WITH {_triangle_sql()} SELECT triangle_id, x, y, a, b, c FROM tri",
+    "mesh_grid": f"WITH {_GRID_SQL} SELECT * FROM grd",
+    "mesh_triangles": f"WITH {_INSERTED_SQL} SELECT l[1] AS a, l[2] AS b, l[3] AS c FROM (SELECT list_sort([p.ins_id, q.ins_id, r.ins_id]) AS l FROM tri JOIN ins p ON p.seed_id = a JOIN ins q ON q.seed_id = b JOIN ins r ON r.seed_id = c)",
+    "mesh_edges": f"""WITH {_INSERTED_SQL} SELECT CAST(row_number() OVER (ORDER BY a, b) - 1 AS INT) AS edge_idx, a, b FROM (SELECT least(p.ins_id, q.ins_id) AS a, greatest(p.ins_id, q.ins_id) AS b
+FROM (SELECT a AS i, b AS j FROM tri UNION SELECT a, c FROM tri UNION SELECT b, c FROM tri) JOIN ins p ON p.seed_id = i JOIN ins q ON q.seed_id = j)""",
+    "grid_summary": f"WITH {_GRID_SQL} SELECT round(sum(CASE WHEN triangle_id = -1 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) * 100, 6) AS outside_percent, round(sqrt(CAST(max(dist2) AS DOUBLE)), 6) AS max_distance FROM grd",
     "padding_spacing": "SELECT CAST(range AS INT) AS p, CAST(floor(sqrt(8 * range)) AS INT) AS spacing FROM range(65)",
 }
 _NAMED = {"voronoi": voronoi_}

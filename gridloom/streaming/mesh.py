@@ -78,7 +78,11 @@ class Delaunay:
         self.spark = spark or SparkSession.getActiveSession()
         self.width, self.height, self.max_seeds = width, height, max_seeds
         self.border_padding = resolve_padding(border_padding)
-        shared = path or self.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mesh-")
+        shared = path or self.spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not self.spark.sparkContext.master.startswith("local"):
+                raise ValueError("give a path, or set spark.checkpoint.dir, to a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="mesh-")
         self.path = f"{shared.rstrip('/')}/mesh-{uuid.uuid4().hex}"
         self.generation = 0
         self.seed_count = 0
