@@ -72,10 +72,17 @@ def with_corners(triangles: DataFrame, seeds: DataFrame) -> DataFrame:
     return triangles
 
 
+def first_witness(found: DataFrame) -> DataFrame:
+    """(x, y, a, b, c): of each triple the witness with least (y, x), both in one BIGINT so that rows are hashed, not sorted."""
+    packed = F.col("y").cast("long") * (1 << 32) + F.col("x") + (1 << 31)
+    one = found.groupBy("a", "b", "c").agg(F.min(packed).alias("at"))
+    y = F.shiftright("at", 32)
+    return one.select((F.col("at") - F.shiftleft(y, 32) - (1 << 31)).cast("int").alias("x"), y.cast("int").alias("y"), "a", "b", "c")
+
+
 def triangles(raster: DataFrame, seeds: DataFrame) -> DataFrame:
     """(triangle_id, x, y, a, b, c): distinct triples, ranked; (x, y) is the witness with least (y, x)."""
-    one = witnesses(raster, seeds).groupBy("a", "b", "c").agg(F.min(F.struct("y", "x")).alias("at"))
-    one = one.select(F.col("at.x").alias("x"), F.col("at.y").alias("y"), "a", "b", "c")
+    one = first_witness(witnesses(raster, seeds))
     ranked = with_rank(one, (F.col("a") / RANK_BUCKET).cast("int"), ("a", "b", "c"), "triangle_id")
     return ranked.select("triangle_id", "x", "y", "a", "b", "c")
 

@@ -19,11 +19,13 @@ def canvas(spark: SparkSession, width: int, height: int, padding: int = 0) -> Da
     return spark.range(w * h).select((i % w - padding).cast("int").alias("px"), (F.expr(f"id div {w}") - padding).cast("int").alias("py"))
 
 
-def _by_comparison(seeds: DataFrame, pixels: DataFrame) -> DataFrame:
+def _by_comparison(seeds: DataFrame, pixels: DataFrame, ids: int) -> DataFrame:
+    """Distance and id share one BIGINT, so the minimum combines in a hash aggregation and nothing is sorted."""
     d = squared_distance(F.col("px"), F.col("py"), F.col("x"), F.col("y"))
-    pairs = pixels.join(F.broadcast(seeds.select("seed_id", "x", "y")))
-    best = pairs.groupBy("px", "py").agg(F.min(F.struct(d.alias("d"), (-F.col("seed_id")).alias("s"))).alias("best"))
-    return best.select("px", "py", (-F.col("best.s")).alias("seed_id"), F.col("best.d").alias("dist2"))
+    packed = d * ids + (ids - 1 - F.col("seed_id").cast("long"))
+    best = pixels.join(F.broadcast(seeds.select("seed_id", "x", "y"))).groupBy("px", "py").agg(F.min(packed).alias("best"))
+    kind = seeds.schema["seed_id"].dataType
+    return best.select("px", "py", (ids - 1 - F.col("best") % ids).cast(kind).alias("seed_id"), F.expr(f"best div {ids}").alias("dist2"))
 
 
 def _by_transform(seeds: DataFrame, pixels: DataFrame) -> DataFrame:
@@ -63,12 +65,16 @@ def voronoi(seeds: DataFrame, width: int, height: int, padding: int = 0, strateg
     their number. ``auto`` counts them and compares while they are fewer than a canvas row has pixels.
     """
     pixels = canvas(seeds.sparkSession, width, height, padding)
+    ids = width * height + 1  # ranks and order keys are below
+    packs = ids * ((width + 2 * padding) ** 2 + (height + 2 * padding) ** 2) < 1 << 62
     if strategy == "auto":
         n = seeds.count() if n_seeds is None else n_seeds
-        strategy = "compare" if n <= min(MAX_BROADCAST_SEEDS, width + 2 * padding) else "transform"
+        strategy = "compare" if packs and n <= min(MAX_BROADCAST_SEEDS, width + 2 * padding) else "transform"
     if strategy not in ("compare", "transform"):
         raise ValueError(f"unknown strategy {strategy!r}")
-    return (_by_comparison if strategy == "compare" else _by_transform)(seeds, pixels)
+    if strategy == "compare" and not packs:
+        raise ValueError("the canvas is too large to compare; use transform")
+    return _by_comparison(seeds, pixels, ids) if strategy == "compare" else _by_transform(seeds, pixels)
 
 
 def nearest_of_both(old: DataFrame, new: DataFrame) -> DataFrame:

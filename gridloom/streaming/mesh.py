@@ -146,8 +146,7 @@ class Delaunay:
         self._witnesses = self._store(found, "witnesses")
         self.timings["detect_ms"] = (time.perf_counter() - began) * 1e3
         began = time.perf_counter()
-        one = self._witnesses.groupBy("a", "b", "c").agg(F.min(F.struct("y", "x")).alias("at"))
-        one = with_rank(one.select("a", "b", "c", F.col("at.x").alias("x"), F.col("at.y").alias("y")), F.expr(f"a div {topology.RANK_BUCKET}"), ("a", "b", "c"), "triangle_id")
+        one = with_rank(topology.first_witness(self._witnesses), F.expr(f"a div {topology.RANK_BUCKET}"), ("a", "b", "c"), "triangle_id")
         self._triangles = self._store(one.select("triangle_id", "x", "y", "a", "b", "c"), "triangles")
         self.timings["dedup_ms"] = (time.perf_counter() - began) * 1e3
         self._seeds, self._raster = everyone, raster
