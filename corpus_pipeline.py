@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import byte_bpe, exact_dedup, mixing, near_dedup, quality_rules
-from gridloom.llm._shared import few, written
+from gridloom.llm._shared import few, keyed, written
 from gridloom.llm.queries import bpe_vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+KEY = "row_key"  # of a stage's input, where ids may be null or repeated
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_texts(docs, mixing.mix(docs, weights=(1, 2, 3)))
+    docs = keyed(docs.select(*COLUMNS), KEY, "to-mix")
+    return mixing.mixed_texts(docs, mixing.mix(docs, weights=(1, 2, 3), row=KEY), row=KEY)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

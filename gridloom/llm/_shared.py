@@ -45,6 +45,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` as a written table with a unique number in the column ``key``, the same at every later read."""
+    return written(df.withColumn(key, F.monotonically_increasing_id()), name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -12,8 +12,12 @@ goes to the other sources by weight, until none is above. The list of sources, o
 by the driver; rows of documents and blocks never are.
 
 Defined edge cases: a null text has size 0 and nothing is taken from it; the null source is a source of its
-own and the last; repeated ids are laid out by size and are alike; a source without words has target 0; an
-empty table gives no rows. Reruns agree, as all draws depend on the seed, the sources and the sizes only.
+own and the last; rows with a null or repeated id are laid out by size and then by the row key, if one is named;
+a source without words has target 0; an empty table gives no rows. Reruns agree, as all draws depend on the
+seed, the sources and the sizes only.
+
+Ids do not tell rows apart. Whoever wants the words of each row (``mixed_texts``) names a column with a unique
+row key, as ``_shared.keyed`` writes it, to ``mix`` and to ``mixed_texts``, which are then joined by it.
 """
 
 from __future__ import annotations
@@ -99,21 +103,25 @@ def permute(k: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def layout(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def layout(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None) -> DataFrame:
     """A written table (doc_id, src, size, first, row): the place of each document's first word in its source.
 
+    ``row`` names a column of unique numbers; without it the rows are numbered here.
+
     Offsets are sums by hash chunk first, then within a chunk, so a source of any size is spread over CHUNKS groups.
     """
+    own = [] if row is None else [F.col(row).alias("row")]
     rows = docs.select(
-        F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source), F.lit(_NULL)).alias("src"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+        F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source), F.lit(_NULL)).alias("src"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *own
     )
     rows = written(rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(CHUNKS)).cast("int")), "sizes")
     sums = rows.groupBy("src", "chunk").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("src", "chunk", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("src", "chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("src", "chunk").orderBy("doc_id", "size", *(["row"] if own else [])).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return written(rows.join(sums, ["src", "chunk"]).select("doc_id", "src", "size", (F.col("base") + F.col("inner")).alias("first"), F.monotonically_increasing_id().alias("row")), "layout")
+    key = F.col("row") if own else F.monotonically_increasing_id().alias("row")
+    return written(rows.join(sums, ["src", "chunk"]).select("doc_id", "src", "size", (F.col("base") + F.col("inner")).alias("first"), key), "layout")
 
 
 def plan(laid: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit: float = LIMIT, block: int = BLOCK) -> pd.DataFrame:
@@ -154,10 +162,10 @@ def draw_slots(laid: DataFrame, sources: pd.DataFrame, shards: int = 64, seed: i
     return slots.mapInPandas(run, "shard int, place long, src string, block long")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), shards: int = 64, seed: int = 17, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row a document: doc_id, size, source, source_size, target, first, taken, uses (array of (block, times))."""
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), shards: int = 64, seed: int = 17, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None) -> DataFrame:
+    """One row a document: doc_id, size, source, source_size, target, first, taken, uses (array of (block, times)), and ``row`` if named."""
     spark = docs.sparkSession
-    laid = layout(docs, doc_id, text, source)
+    laid = layout(docs, doc_id, text, source, row)
     sources = plan(laid, weights, LIMIT, block)
     slots = draw_slots(laid, sources, shards, seed)
     uses = slots.groupBy("src", "block").agg(F.count(F.lit(1)).alias("times"))
@@ -169,18 +177,24 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), shards: int = 6
     known = spark.createDataFrame(rows, "src string, source_size long, target double")
     out = laid.join(taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
     out = out.join(F.broadcast(known), "src")
-    return out.select("doc_id", "size", F.when(F.col("src") != _NULL, F.col("src")).alias("source"), "source_size", "target", "first", "taken", "uses")
+    return out.select("doc_id", "size", F.when(F.col("src") != _NULL, F.col("src")).alias("source"), "source_size", "target", "first", "taken", "uses", *([] if row is None else [F.col("row").alias(row)]))
 
 
-def mixed_texts(docs: DataFrame, mixed: DataFrame, block: int = BLOCK) -> DataFrame:
+def mixed_texts(docs: DataFrame, mixed: DataFrame, block: int = BLOCK, row: str | None = None) -> DataFrame:
     """The words that the mix takes, as rows of ``docs`` (doc_id, text, lang, source, n_chars).
 
     A document gives one row for each pass that uses any of its blocks: the text of the blocks used in that
     many passes or more, runs of neighbouring blocks as they stand and a space between runs.
+
+    ``row`` names the row key of both tables. Without it they are joined by id, and a null or repeated id among
+    the mixed rows is an error, since the words of such rows would be lost or cut from other rows.
     """
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    taken = mixed.where("taken > 0").select("doc_id", "first", "uses")
-    rows = docs.join(taken, "doc_id").select("doc_id", "text", "lang", "source", "first", "uses.block", "uses.times")
+    if row is None and mixed.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").limit(1).count():
+        raise ValueError("ids are null or repeated; name a unique row key")
+    key = row or "doc_id"
+    taken = mixed.where("taken > 0").select(key, "first", "uses")
+    rows = docs.join(taken, key).select("doc_id", "text", "lang", "source", "first", "uses.block", "uses.times")
 
     def cut(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: int, blocks: np.ndarray, times: np.ndarray) -> Iterator[str]:
         for turn in range(1, int(times.max()) + 1):
