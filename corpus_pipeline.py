@@ -1,6 +1,7 @@
 """The corpus pipeline: quality rules, exact dedup, near dedup, mixing and encoding, one written table after each.
 
-The filtering stages drop rows and change nothing else. The mixing stage replaces each document by the
+The filtering stages drop rows and change nothing else. Every verdict holds for its row, by a row key, since ids
+may be null or repeated: of a group of copies one row stays. The mixing stage replaces each document by the
 words the mix takes from it, one row for each pass. The last stage encodes and decodes what is left.
 """
 
@@ -22,15 +23,17 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
-    return docs.join(few(written(dropped.where("NOT kept").select("doc_id"), name)), "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(few(written(dropped.where("NOT kept").select(KEY), name)), KEY, "left_anti").select(*COLUMNS)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, exact_dedup.exact_dedup(docs), "copies")
+    docs = keyed(docs.select(*COLUMNS), KEY, "to-exact")
+    return _without(docs, exact_dedup.exact_dedup(docs, row=KEY), "copies")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, near_dedup.near_dedup(docs), "near-copies")
+    docs = keyed(docs.select(*COLUMNS), KEY, "to-near")
+    return _without(docs, near_dedup.near_dedup(docs, row=KEY), "near-copies")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,13 +6,15 @@ miss is a new key at once, a hit is verified against the stored content key (SHA
 an insertion that overflows doubles the filter and refills it from the stored keys.
 
 The distributed form is a two-level tree. Every input split becomes a part of a written table of
-(doc_id, sha256, bytes, part). A first index folds the rows of each part, so a group that holds a third of
+(doc_id, row, sha256, bytes, part). A first index folds the rows of each part, so a group that holds a third of
 all rows shrinks to one entry a part before anything is shuffled. The entries meet by digest in a second
 index, whose answer returns to the rows by (digest, part): no key gathers more rows than one part has.
 
 Defined edge cases: a null text counts as empty and equals other empty texts; the row with the largest
 doc_id stays (a null doc_id is smaller than any other); repeated (doc_id, text) rows count in
-``group_size`` and are all marked kept, as nothing tells them apart; an empty table gives no rows.
+``group_size`` and are all marked kept unless a row key is named, as nothing else tells them apart; with a row
+key exactly one row of a group is kept, of the largest doc_id the one with the largest key; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -143,7 +145,7 @@ class DigestIndex:
 
 
 def fold(rows: Iterable[tuple], index: DigestIndex | None = None) -> DigestIndex:
-    """Rows of (key, count, largest id, parts) into an index whose values are [count, largest id, parts]."""
+    """Rows of (key, count, largest (id, row), part) into an index whose values are [count, largest (id, row), parts]."""
     index = DigestIndex() if index is None else index
     for key, n, top, part in rows:
         live = index.get(key)
@@ -156,8 +158,8 @@ def fold(rows: Iterable[tuple], index: DigestIndex | None = None) -> DigestIndex
     return index
 
 
-_PARTIAL = "sha binary, n_bytes long, part long, n long, top long"
-_MERGED = "sha binary, n_bytes long, part long, keep_id long, group_size long"
+_PARTIAL = "sha binary, n_bytes long, part long, n long, top long, top_row long"
+_MERGED = "sha binary, n_bytes long, part long, keep_id long, keep_row long, group_size long"
 
 
 def _columns(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
@@ -168,17 +170,17 @@ def _fold_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     # part comes into the key, so that parts which share a task stay apart
     index = DigestIndex()
     for batch in batches:
-        fold((((sha, size, part), 1, _NONE if i is None else i, part) for i, sha, size, part in _columns(batch, "doc_id", "sha", "n_bytes", "part")), index)
-    rows = [(k[0], k[1], k[2], v[0], v[1]) for k, v in index.items()]
-    yield from _emit(rows, ("sha", "n_bytes", "part", "n", "top"))
+        fold((((sha, size, part), 1, (_NONE if i is None else i, row), part) for i, row, sha, size, part in _columns(batch, "doc_id", "row", "sha", "n_bytes", "part")), index)
+    rows = [(k[0], k[1], k[2], v[0], *v[1]) for k, v in index.items()]
+    yield from _emit(rows, ("sha", "n_bytes", "part", "n", "top", "top_row"))
 
 
 def _merge_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     index = DigestIndex()
     for batch in batches:
-        fold((((sha, size), n, top, part) for sha, size, part, n, top in _columns(batch, "sha", "n_bytes", "part", "n", "top")), index)
-    rows = ((k[0], k[1], part, v[1], v[0]) for k, v in index.items() if v[0] > 1 for part in v[2])
-    yield from _emit(rows, ("sha", "n_bytes", "part", "keep_id", "group_size"))
+        fold((((sha, size), n, (top, row), part) for sha, size, part, n, top, row in _columns(batch, "sha", "n_bytes", "part", "n", "top", "top_row")), index)
+    rows = ((k[0], k[1], part, *v[1], v[0]) for k, v in index.items() if v[0] > 1 for part in v[2])
+    yield from _emit(rows, ("sha", "n_bytes", "part", "keep_id", "keep_row", "group_size"))
 
 
 def _emit(rows: Iterable[tuple], names: tuple[str, ...], size: int = 20_000) -> Iterator[pa.RecordBatch]:
@@ -198,12 +200,13 @@ def _emit(rows: Iterable[tuple], names: tuple[str, ...], size: int = 20_000) ->
         yield batch()
 
 
-def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A written table (doc_id, sha, n_bytes, part): one scan of the texts, hashed in the JVM."""
+def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """A written table (doc_id, row, sha, n_bytes, part): one scan of the texts, hashed in the JVM; ``row`` is 0 if no key is named."""
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     return written(
         docs.select(
             F.col(doc_id).cast("long").alias("doc_id"),
+            (F.lit(0) if row is None else F.col(row)).cast("long").alias("row"),
             F.unhex(F.sha2(body, 256)).alias("sha"),
             F.octet_length(body).cast("long").alias("n_bytes"),
             F.spark_partition_id().cast("long").alias("part"),
@@ -212,18 +215,20 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     )
 
 
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = digests(docs, doc_id, text)
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """One row a document: doc_id, keep_id, group_size, kept, text_sha256, and ``row`` if a column of unique numbers is named."""
+    rows = digests(docs, doc_id, text, row)
     partial = rows.mapInArrow(_fold_parts, _PARTIAL)
     merged = partial.repartition("sha").mapInArrow(_merge_parts, _MERGED)
     out = rows.join(merged, ["sha", "n_bytes", "part"], "left")
     keep = F.when(F.col("keep_id") == _NONE, F.lit(None).cast("long")).otherwise(F.col("keep_id"))
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(keep)
+    kept = keep.eqNullSafe(F.col("doc_id")) if row is None else F.coalesce(F.col("keep_row") == F.col("row"), F.lit(True))
     return out.select(
         "doc_id",
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        keep.eqNullSafe(F.col("doc_id")).alias("kept"),
+        kept.alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        *([] if row is None else [F.col("row").alias(row)]),
     )

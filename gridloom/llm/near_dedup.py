@@ -17,7 +17,8 @@ only pairs of different components that share two sketches are aligned.
 
 Defined edge cases: a text of one to four words is one shingle; texts without words are duplicates only when
 equal; a null text equals other null or empty texts; rows with a null doc_id take part, and a class of such
-rows only has a null class_id; an empty table gives no rows.
+rows only has a null class_id; rows of a class that share its class_id are all marked kept unless a row key is
+named; with a row key exactly one of them is, the one with the least key; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -151,16 +152,16 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             values = np.concatenate(found) if found else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-                names=["doc_id", "node", "n", "sketch"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), batch.column(3)],
+                names=["doc_id", "node", "n", "sketch", "row"],
             )
 
 
-def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A written table (doc_id, node, n, sketch, row): one scan of the texts."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _node(F.col(text)).alias("node"), F.col(text).alias("text"))
-    out = rows.mapInArrow(_sketch_batches, "doc_id long, node long, n long, sketch array<long>")
-    return written(out.withColumn("row", F.monotonically_increasing_id()), "sketches")
+def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """A written table (doc_id, node, n, sketch, row): one scan of the texts. Rows are numbered here if no key is named."""
+    key = F.monotonically_increasing_id() if row is None else F.col(row).cast("long")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _node(F.col(text)).alias("node"), F.col(text).alias("text"), key.alias("row"))
+    return written(rows.mapInArrow(_sketch_batches, "doc_id long, node long, n long, sketch array<long>, row long"), "sketches")
 
 
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,10 +252,11 @@ def _aligned_block(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
 
-def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: doc_id, class_id (least doc_id of its class), class_size, kept."""
-    rows = sketches(docs, doc_id, text)
-    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("row").alias("row")), "nodes")
+def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """One row a document: doc_id, class_id (least doc_id of its class), class_size, kept, and ``row`` if a column of unique numbers is named."""
+    rows = sketches(docs, doc_id, text, row)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "row")).alias("first")  # null ids last
+    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("row").alias("row"), first), "nodes")
     single = rows.join(nodes.select("row"), "row", "left_semi")
     bands = single.select("node", "n", F.posexplode("sketch").alias("band", "key"))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -291,8 +293,10 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         labels = components(links.union(more))
 
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    classes = named.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("texts")).where("class_size > 1")
-    member = named.join(classes, "label").select("node", "class_id", "class_size", F.lit(True).alias("grouped"))
-    out = rows.select("doc_id", "node").join(member, "node", "left")
+    classes = named.groupBy("label").agg(F.min("first_id").alias("class_id"), F.min("first").alias("top"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("texts")).where("class_size > 1")
+    member = named.join(classes, "label").select("node", "class_id", F.col("top.row").alias("class_row"), "class_size", F.lit(True).alias("grouped"))
+    out = rows.select("doc_id", "node", "row").join(member, "node", "left")
     top = F.when(F.col("grouped"), F.col("class_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", top.alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), top.eqNullSafe(F.col("doc_id")).alias("kept"))
+    kept = top.eqNullSafe(F.col("doc_id")) if row is None else F.coalesce(F.col("class_row") == F.col("row"), F.lit(True))
+    own = [] if row is None else [F.col("row").alias(row)]
+    return out.select("doc_id", top.alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), kept.alias("kept"), *own)

@@ -42,3 +42,27 @@ def test_mixing_by_id_refuses_ids_that_tell_no_rows_apart(spark):
         docs = spark.createDataFrame([(i, "a b c", "en", "s", 5) for i in ids], SCHEMA)
         with pytest.raises(ValueError, match="row key"):
             mixing.mixed_texts(docs, mixing.mix(docs))
+
+
+def left(df):
+    return collections.Counter((r.doc_id, r.text) for r in df.collect())
+
+
+def test_exact_stage_keeps_one_row_a_group(spark):
+    ids = [(5, "A"), (9, "A"), (5, "B"), (None, "A"), (None, "C"), (None, "C"), (7, "D"), (7, "D"), (None, "E"), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in ids], SCHEMA).repartition(3)
+    got = left(corpus_pipeline.exact_stage(spark, docs, ""))
+    blank = [k for k in got if not k[1]]
+    assert len(blank) == 1 and got.pop(blank[0]) == 1
+    assert got == {(9, "A"): 1, (5, "B"): 1, (None, "C"): 1, (7, "D"): 1, (None, "E"): 1}
+
+
+def test_near_stage_keeps_one_row_a_class(spark):
+    rng = random.Random(5)
+    base = [" ".join(f"{k}{rng.randrange(10**6)}" for _ in range(300)) for k in "abcdef"]
+    a, b, c, d, e, f = base
+    rows = [(3, a), (4, a + " more"), (4, b), (None, a + " other"), (None, c), (None, c + " x"), (None, c), (6, d), (6, d + " x"), (None, e), (4, f), (4, f)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA).repartition(3)
+    got = left(corpus_pipeline.near_stage(spark, docs, ""))
+    assert collections.Counter((i, t[0]) for i, t in got.elements()) == {(3, "a"): 1, (4, "b"): 1, (None, "c"): 1, (6, "d"): 1, (None, "e"): 1, (4, "f"): 1}
+    assert got[3, a] == 1
