@@ -2,7 +2,8 @@
 
 The model mixes maximum-likelihood estimates of the bigram, the unigram and a uniform part; the mixture
 weights depend on the bucket (binary logarithm) of how often the context was seen, and are learned by
-expectation-maximisation on the counts of a held-out tenth of the training texts.
+expectation-maximisation on the counts of a held-out tenth of the training texts. A bucket that the held-out
+texts never met takes the weights of the next lower bucket they met, or else of the next higher.
 
 Counts never gather by document or by frequent word. Texts are read once into blocks of about
 ``BLOCK_TOKENS`` tokens: a written table that holds, for every block, its documents' tokens as indexes into
@@ -270,6 +271,21 @@ def learn_weights(cells: np.ndarray, uniform: float, rounds: int = 60) -> dict[i
     return out
 
 
+def bucket_weights(learned: dict[int, tuple[float, float, float]], top: int, fallback: tuple[float, float, float]) -> np.ndarray:
+    """Weights of the buckets 0 to ``top``: learned, else of the next lower learned bucket, else of the next higher.
+
+    In bucket 0 no bigram was seen, so weights borrowed there leave the bigram out; ``fallback`` is for nothing learned.
+    """
+    if not learned:
+        return np.array([fallback] * (top + 1))
+    known = sorted(learned)
+    out = np.array([learned[max((b for b in known if b <= k), default=known[0])] for k in range(top + 1)])
+    if 0 not in learned:
+        out[0, 0] = 0.0
+        out[0] /= out[0].sum()
+    return out
+
+
 def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: doc_id, n_tokens, n_known, train_tokens, base_score, score. ``learn``: which rows train."""
     tuning = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit("tune")), F.lit(10)) == 0
@@ -289,7 +305,7 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
         own, words, pairs = _joined(rows, "total")
         b = _Block(own)
         bucket, p2, p1 = _estimates(b, words, pairs, n, texts)
-        w = np.array([weights.get(k, fallback) for k in range(int(bucket.max(initial=0)) + 1)])
+        w = bucket_weights(weights, int(bucket.max(initial=0)), fallback)
         p = w[bucket, 0] * p2 + w[bucket, 1] * p1 + w[bucket, 2] / (v + 1)
         logs = np.log10(p)[b.bigram_of]
         base = np.log10((words + 1.0) / (n + v + 1.0))[b.tokens]
