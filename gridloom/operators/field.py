@@ -19,16 +19,20 @@ def edges(triangles: DataFrame) -> DataFrame:
 
 def _ends(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     for name in "ab":
-        edges = edges.join(seeds.select(F.col("seed_id").alias(name), F.col("x").alias(name + "x"), F.col("y").alias(name + "y"), F.col("value").cast("double").alias(name + "v")), name)
+        edges = edges.join(seeds.select(F.col("seed_id").alias(name), F.col("x").alias(name + "x"), F.col("y").alias(name + "y"), F.col("value").cast("float").cast("double").alias(name + "v")), name)
     return edges
 
 
 def edge_scores(edges: DataFrame, seeds: DataFrame, min_length: float = 0.0) -> DataFrame:
-    """Adds score, the change of the value times the length, or 0 for edges shorter than ``min_length``; and the ends."""
+    """Adds score, the change of the value times the length, or 0 for edges shorter than ``min_length``; and the ends.
+
+    Values are single precision, the product is taken in double and stored as single again, so scores that differ
+    beyond single precision are equal.
+    """
     ends = _ends(edges, seeds)
     d2 = squared_distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
     score = F.abs(F.col("bv") - F.col("av")) * F.sqrt(d2.cast("double"))
-    return ends.withColumn("score", F.when(d2 < min_length * min_length, 0.0).otherwise(score))
+    return ends.withColumn("score", F.when(d2 < min_length * min_length, 0.0).otherwise(score).cast("float"))
 
 
 def select_midpoints(edges: DataFrame, seeds: DataFrame, width: int, height: int, min_length: float, count: int, threshold: float = 0.0) -> DataFrame:
@@ -37,7 +41,7 @@ def select_midpoints(edges: DataFrame, seeds: DataFrame, width: int, height: int
     Midpoints round half to even and stay on the image; those on a seed go, and of several on one pixel one
     is left. Ties of the score go to the lower edge index.
     """
-    best = edge_scores(edges, seeds, min_length).where(F.col("score") > max(threshold, 0.0)).orderBy(F.desc("score"), "edge_idx").limit(count)
+    best = edge_scores(edges, seeds, min_length).where(F.col("score") > F.lit(max(threshold, 0.0)).cast("float")).orderBy(F.desc("score"), "edge_idx").limit(count)
     mid = lambda k, top: F.greatest(F.least(F.rint((F.col(f"a{k}") + F.col(f"b{k}")) / 2).cast("int"), F.lit(top - 1)), F.lit(0))
     at = best.select(mid("x", width).alias("x"), mid("y", height).alias("y")).distinct()
     return at.join(seeds.select("x", "y"), ["x", "y"], "left_anti").orderBy("y", "x")

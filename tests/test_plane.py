@@ -143,17 +143,35 @@ def test_field(spark):
     edge_rows = sorted(field.edges(found).collect())
     want = sorted({tuple(sorted(p)) for r in found.collect() for p in combinations((r.a, r.b, r.c), 2)})
     assert [(r.a, r.b) for r in edge_rows] == want and [r.edge_idx for r in edge_rows] == list(range(len(want)))
+    single = lambda v: float(np.float32(v))
     score = {
-        i: 0.0 if (d := (at[a].x - at[b].x) ** 2 + (at[a].y - at[b].y) ** 2) < 25 else abs(at[a].value - at[b].value) * d**0.5 for i, (a, b) in enumerate(want)
+        i: 0.0 if (d := (at[a].x - at[b].x) ** 2 + (at[a].y - at[b].y) ** 2) < 25 else abs(single(at[a].value) - single(at[b].value)) * d**0.5 for i, (a, b) in enumerate(want)
     }
     for r in field.edge_scores(field.edges(found), ranked, 5.0).collect():
-        assert r.score == pytest.approx(score[r.edge_idx], rel=1e-12)
-    best = sorted((i for i in score if score[i] > 1.0), key=lambda i: (-score[i], i))[:10]
+        assert r.score == np.float32(score[r.edge_idx])
+    best = sorted((i for i in score if score[i] > 1.0), key=lambda i: (-single(score[i]), i))[:10]
     mids = {(round((at[want[i][0]].x + at[want[i][1]].x) / 2), round((at[want[i][0]].y + at[want[i][1]].y) / 2)) for i in best} - set(points)
     got = [tuple(r) for r in field.select_midpoints(field.edges(found), ranked, 40, 32, 5.0, 10, 1.0).collect()]
     assert got == sorted(mids, key=lambda p: (p[1], p[0]))
 
 
+def test_scores_that_are_equal_in_single_precision_go_to_the_lower_edge(spark):
+    """The second edge scores higher by a part in 10**10 only."""
+    rows = [(0, 0, 0, 0.0), (1, 0, 10, 100.0), (2, 20, 0, 0.0), (3, 20, 10, 100.00000001)]
+    seeds = spark.createDataFrame(rows, "seed_id int, x int, y int, value double")
+    pairs = spark.createDataFrame([(0, 0, 1), (1, 2, 3)], "edge_idx int, a int, b int")
+    scores = {r.edge_idx: r.score for r in field.edge_scores(pairs, seeds).collect()}
+    assert scores[0] == scores[1] == 1000.0
+    assert [tuple(r) for r in field.select_midpoints(pairs, seeds, 40, 40, 1.0, 1).collect()] == [(0, 5)]
+    assert field.select_midpoints(pairs, seeds, 40, 40, 1.0, 2, 1000.0).count() == 0  # not above the threshold
+
+
+def test_many_seeds_are_not_broadcast(spark):
+    seeds = spark.range(voronoi.MAX_BROADCAST_SEEDS + 1).selectExpr("CAST(id AS INT) AS seed_id", "CAST(id % 200 AS INT) AS x", "CAST(id DIV 200 AS INT) AS y")
+    with pytest.raises(ValueError, match="broadcast"):
+        voronoi.voronoi(seeds, 200, 200, strategy="compare")
+
+
 def test_locate_and_circumsphere(spark):
     points = random_points(8, 14, 40, 40)
     t = triangulate_frame(spark, 40, 40, points)
