@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,7 +33,8 @@ def _by_comparison(seeds: DataFrame, pixels: DataFrame, ids: int) -> DataFrame:
 def _by_transform(seeds: DataFrame, pixels: DataFrame) -> DataFrame:
     """Two exact passes: the nearest seed of each pixel's column, then the best of the columns within reach.
 
-    The work grows with the pixels times the distance to their seed, not with the number of seeds.
+    The work grows with the pixels times the distance to their seed, not with the number of seeds. A task of the second
+    pass holds one row of pixels.
     """
     own = seeds.select(F.col("x").alias("px"), F.col("y").alias("py"), F.struct("y", "seed_id").alias("own"))
     col = Window.partitionBy("px").orderBy("py")
@@ -40,29 +43,35 @@ def _by_transform(seeds: DataFrame, pixels: DataFrame) -> DataFrame:
     gap = lambda c: F.when(F.col(c).isNotNull(), F.struct(((F.col("py") - F.col(f"{c}.y")).cast("long") * (F.col("py") - F.col(f"{c}.y"))).alias("d"), (-F.col(f"{c}.seed_id")).alias("s")))
     near = pixels.join(own, ["px", "py"], "left").select("px", "py", up.alias("up"), down.alias("down"))
     near = near.select("px", "py", F.least(gap("up"), gap("down")).alias("near"))
-    # Any column's candidate bounds the distance, so only columns within its root matter. The bound comes from
-    # the nearest columns with a candidate on either side; one exchange by row serves all that follows.
-    row = Window.partitionBy("py").orderBy("px")
-    here = F.when(F.col("near").isNotNull(), F.struct("px", F.col("near.d").alias("d")))
-    left = F.last(here, ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first(here, ignorenulls=True).over(row.rowsBetween(0, Window.unboundedFollowing))
-    reach = lambda c: (F.col("px") - F.col(f"{c}.px")).cast("long") * (F.col("px") - F.col(f"{c}.px")) + F.col(f"{c}.d")
-    bound = near.select("px", "py", left.alias("l"), right.alias("r")).select("px", "py", F.floor(F.sqrt(F.least(reach("l"), reach("r")).cast("double"))).cast("int").alias("radius"))
-    whole = near.groupBy("py").agg(F.sort_array(F.collect_list(F.struct("px", "near"))).alias("row"))
-    at = bound.join(whole, "py").withColumn("i", F.col("px") - F.col("row")[0]["px"])
-    some = F.filter(F.slice("row", F.greatest(F.col("i") - F.col("radius"), F.lit(0)) + 1, 2 * F.col("radius") + 1), lambda c: c["near"].isNotNull())
-    best = F.array_min(
-        F.transform(some, lambda c: F.struct(((c["px"] - F.col("px")).cast("long") * (c["px"] - F.col("px")) + c["near"]["d"]).alias("d"), c["near"]["s"].alias("s")))
-    )
-    out = at.where("radius IS NOT NULL").select("px", "py", best.alias("best"))
-    return out.select("px", "py", (-F.col("best.s")).alias("seed_id"), F.col("best.d").alias("dist2"))
+    flat = near.select("px", "py", F.col("near.d").alias("d"), (-F.col("near.s")).cast("long").alias("seed_id"))
+    kind = seeds.schema["seed_id"].dataType
+    out = flat.groupBy("py").applyInArrow(_row_pass, "px int, py int, seed_id long, dist2 long")
+    return out.select("px", "py", F.col("seed_id").cast(kind).alias("seed_id"), "dist2")
+
+
+def _row_pass(rows: pa.Table) -> pa.Table:
+    """The best column candidate for each pixel of one row: columns are compared further and further away while any pixel can gain."""
+    rows = rows.sort_by("px")
+    far = np.iinfo(np.int64).max
+    d = rows.column("d").fill_null(far).to_numpy()
+    ids = rows.column("seed_id").fill_null(-1).to_numpy()
+    best, who, k = d.copy(), ids.copy(), 1
+    while k < len(d) and k * k <= best.max():
+        for here, there in ((slice(k, None), slice(None, -k)), (slice(None, -k), slice(k, None))):
+            reach = np.where(d[there] == far, far, d[there] + k * k)
+            gain = (reach < best[here]) | ((reach == best[here]) & (ids[there] > who[here]))
+            best[here], who[here] = np.where(gain, reach, best[here]), np.where(gain, ids[there], who[here])
+        k += 1
+    out = pa.table({"px": rows.column("px"), "py": rows.column("py"), "seed_id": who, "dist2": best})
+    return out.filter(pa.array(best < far))
 
 
 def voronoi(seeds: DataFrame, width: int, height: int, padding: int = 0, strategy: str = "auto", n_seeds: int | None = None) -> DataFrame:
     """(px, py, seed_id, dist2) for ranked ``seeds`` (seed_id, x, y).
 
     ``compare`` tests each pixel against all seeds, which are broadcast; ``transform`` is independent of
-    their number. ``auto`` counts them and compares while they are fewer than a canvas row has pixels.
+    their number. ``auto`` counts them and compares while they are fewer than a canvas row has pixels. More than
+    ``MAX_BROADCAST_SEEDS`` seeds are never compared.
     """
     pixels = canvas(seeds.sparkSession, width, height, padding)
     ids = width * height + 1  # ranks and order keys are below
@@ -70,7 +79,11 @@ def voronoi(seeds: DataFrame, width: int, height: int, padding: int = 0, strateg
     if strategy == "auto":
         n = seeds.count() if n_seeds is None else n_seeds
         strategy = "compare" if packs and n <= min(MAX_BROADCAST_SEEDS, width + 2 * padding) else "transform"
-    if strategy not in ("compare", "transform"):
+    elif strategy == "compare":
+        n = seeds.count() if n_seeds is None else n_seeds
+        if n > MAX_BROADCAST_SEEDS:
+            raise ValueError(f"{n} seeds are too many to broadcast; use transform")
+    elif strategy != "transform":
         raise ValueError(f"unknown strategy {strategy!r}")
     if strategy == "compare" and not packs:
         raise ValueError("the canvas is too large to compare; use transform")
