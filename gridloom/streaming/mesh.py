@@ -2,18 +2,24 @@
 
 Seeds carry an order key, x * height + y, in place of their rank. Keys sort as ranks do and never change when seeds
 are added, so diagrams, witnesses and assignments of earlier versions stay valid; ranks are joined in when
-results are read. Only what a batch changes is computed again: pixels whose nearest seed changed, blocks
-that touch such pixels, and pixels in tiles of triangles that came or went. The result equals the batch
-result over all seeds.
+results are read. A batch gets a diagram of its own seeds, which is merged into the one there is; blocks are looked at
+again where a pixel changed its seed, and pixels are assigned again in the tiles of triangles that came or went, or
+all of them where that is most of the image. The result equals the batch result over all seeds.
+
+Every change is written first and then committed by one small file, which names the version's tables, its counts and
+the last batch of a stream. ``reopen`` goes on from the last commit, so a driver that starts again neither loses a batch
+nor inserts one twice, and a failed insertion leaves the mesh as it was.
 """
 
 from __future__ import annotations
 
+import json
 import tempfile
 import time
 import uuid
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,8 +74,15 @@ class DeviceView:
         return self.frame().toPandas()
 
 
+#: From this share of dirty tiles on, all pixels are assigned again.
+FULL_SHARE = 0.6
+
+
 class Delaunay:
-    """Append-only mesh over a fixed image. State is a set of Parquet tables under ``path``, one folder a version."""
+    """Append-only mesh over a fixed image. State is a set of Parquet tables under ``path``, one folder a version.
+
+    Without ``path`` the state goes to a new folder, in the shared one or, on one machine, a temporary one.
+    """
 
     def __init__(self, width: int, height: int, max_seeds: int, border_padding: int | None = -1, spark: SparkSession | None = None, path: str | None = None):
         check_size(width, height)
@@ -78,38 +91,78 @@ class Delaunay:
         self.spark = spark or SparkSession.getActiveSession()
         self.width, self.height, self.max_seeds = width, height, max_seeds
         self.border_padding = resolve_padding(border_padding)
-        shared = path or self.spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            if not self.spark.sparkContext.master.startswith("local"):
-                raise ValueError("give a path, or set spark.checkpoint.dir, to a folder that all executors share")
-            shared = tempfile.mkdtemp(prefix="mesh-")
-        self.path = f"{shared.rstrip('/')}/mesh-{uuid.uuid4().hex}"
+        if path is None:
+            shared = self.spark.conf.get("spark.checkpoint.dir", None)
+            if not shared:
+                if not self.spark.sparkContext.master.startswith("local"):
+                    raise ValueError("give a path, or set spark.checkpoint.dir, to a folder that all executors share")
+                shared = tempfile.mkdtemp(prefix="mesh-")
+            path = f"{shared.rstrip('/')}/mesh-{uuid.uuid4().hex}"
+        elif self._commits_at(self.spark, path):
+            raise ValueError(f"there is a mesh in {path}; use reopen")
+        self.path = path.rstrip("/")
         self.generation = 0
         self.seed_count = 0
         self.has_pending = False
         self.timings: dict[str, float] = {}
         self._valued: bool | None = None
-        self._seen_batches: set[int] = set()
-        self._seeds = self._raster = self._witnesses = self._triangles = self._assigned = None
+        self._last_batch = -1
+        self._commits = 0
+        self._at: dict[str, str] = {}
+        self._seeds = self._raster = self._witnesses = self._triangles = self._assigned = self._final_triangles = None
 
     # state
 
-    def _store(self, df: DataFrame, name: str) -> DataFrame:
-        at = f"{self.path}/{self.generation}/{name}"
+    @staticmethod
+    def _commits_at(spark: SparkSession, path: str) -> list[dict]:
+        try:
+            return [json.loads(r[0]) for r in spark.read.text(f"{path.rstrip('/')}/commits/*").collect()]
+        except AnalysisException:  # no such folder
+            return []
+
+    @classmethod
+    def reopen(cls, path: str, spark: SparkSession | None = None) -> Delaunay:
+        """The mesh as the last commit under ``path`` left it."""
+        spark = spark or SparkSession.getActiveSession()
+        found = cls._commits_at(spark, path)
+        if not found:
+            raise ValueError(f"there is no mesh in {path}")
+        last = max(found, key=lambda c: c["commit"])
+        self = cls(last["width"], last["height"], last["max_seeds"], last["border_padding"], spark)
+        self.path, self._commits, self._at = path.rstrip("/"), last["commit"], last["tables"]
+        self.generation, self.seed_count, self.has_pending = last["generation"], last["seed_count"], last["has_pending"]
+        self._valued, self._last_batch = last["valued"], last["last_batch"]
+        for name, at in self._at.items():
+            setattr(self, f"_{name}", spark.read.parquet(f"{self.path}/{at}"))
+        return self
+
+    def _store(self, df: DataFrame, name: str, generation: int | None = None) -> DataFrame:
+        at = f"{self.path}/{self.generation if generation is None else generation}/{name}"
         df.write.mode("overwrite").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def _commit(self, tables: dict[str, str], **changes) -> None:
+        """One file that names the new state; this object takes it on when the file is there."""
+        at = self._at | tables
+        state = {"generation": self.generation, "seed_count": self.seed_count, "has_pending": self.has_pending, "valued": self._valued, "last_batch": self._last_batch} | changes
+        fixed = {"width": self.width, "height": self.height, "max_seeds": self.max_seeds, "border_padding": self.border_padding}
+        line = json.dumps(fixed | state | {"commit": self._commits + 1, "tables": at})
+        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/commits/{self._commits + 1}")
+        self._commits, self._at = self._commits + 1, at
+        self.generation, self.seed_count, self.has_pending = state["generation"], state["seed_count"], state["has_pending"]
+        self._valued, self._last_batch = state["valued"], state["last_batch"]
+
     def _parse(self, seeds, values) -> DataFrame:
         batch = seeds_from(self.spark, seeds, values, self.seed_count)
         if isinstance(seeds, DataFrame):
             batch = with_rank(batch, F.col("x"), ("x", "y"), "rank").withColumn("ins_id", F.coalesce("ins_id", F.col("rank") + self.seed_count)).drop("rank")
         return batch.withColumn("seed_id", F.col("x").cast("long") * self.height + F.col("y")).select("seed_id", "ins_id", "x", "y", "value")
 
-    def _validate(self, batch: DataFrame) -> int:
-        """Number of seeds of the batch; raises before anything has changed."""
+    def _validate(self, batch: DataFrame) -> tuple[int, bool]:
+        """Number of seeds of the batch and whether they have values; raises before anything has changed."""
         n, valued, x0, x1, y0, y1 = batch.agg(F.count(F.lit(1)), F.count("value"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
         if not n:
-            return 0
+            return 0, False
         if self.seed_count + n > self.max_seeds:
             raise ValueError(f"{self.seed_count} + {n} seeds exceed max_seeds = {self.max_seeds}")
         if x0 < 0 or y0 < 0 or x1 >= self.width or y1 >= self.height:
@@ -122,36 +175,36 @@ class Delaunay:
             raise ValueError("a seed of the batch is there already")
         if self._valued is not None and self._valued != bool(valued):
             raise ValueError("either every batch carries values or none does")
-        self._valued = bool(valued)
-        return n
+        return n, bool(valued)
 
     # insertion
 
-    def insert_deferred(self, seeds, values=None) -> None:
+    def insert_deferred(self, seeds, values=None, batch_id: int | None = None) -> None:
         """Append seeds and update the diagram and the triangles; pixels are assigned by ``finalise``. Empty batches do nothing."""
         batch = self._parse(seeds, values)
-        n = self._validate(batch)
+        n, valued = self._validate(batch)
         if not n:
             return
-        self.generation += 1
+        new = self.generation + 1
         began = time.perf_counter()
-        batch = self._store(batch, "batch")
+        batch = self._store(batch, "batch", new)
         raster, changed = insert_batch(self._raster, batch, self.width, self.height, self.border_padding)
-        everyone = batch if self._seeds is None else self._store(self._seeds.unionByName(batch), "seeds")
-        changed = self._store(changed, "changed")
-        raster = self._store(raster, "raster")
-        self.timings = {"bfs_ms": (time.perf_counter() - began) * 1e3, "bfs_iters": 1}
+        everyone = batch if self._seeds is None else self._store(self._seeds.unionByName(batch), "seeds", new)
+        changed = self._store(changed, "changed", new)
+        raster = self._store(raster, "raster", new)
+        timings = {"bfs_ms": (time.perf_counter() - began) * 1e3, "bfs_iters": 1}
         began = time.perf_counter()
         found = topology.witnesses(raster, everyone) if self._witnesses is None else update_witnesses(self._witnesses, raster, changed, everyone)
-        self._witnesses = self._store(found, "witnesses")
-        self.timings["detect_ms"] = (time.perf_counter() - began) * 1e3
+        witnesses = self._store(found, "witnesses", new)
+        timings["detect_ms"] = (time.perf_counter() - began) * 1e3
         began = time.perf_counter()
-        one = with_rank(topology.first_witness(self._witnesses), F.expr(f"a div {topology.RANK_BUCKET}"), ("a", "b", "c"), "triangle_id")
-        self._triangles = self._store(one.select("triangle_id", "x", "y", "a", "b", "c"), "triangles")
-        self.timings["dedup_ms"] = (time.perf_counter() - began) * 1e3
-        self._seeds, self._raster = everyone, raster
-        self.seed_count += n
-        self.has_pending = True
+        one = with_rank(topology.first_witness(witnesses), F.expr(f"a div {topology.RANK_BUCKET}"), ("a", "b", "c"), "triangle_id")
+        triangles = self._store(one.select("triangle_id", "x", "y", "a", "b", "c"), "triangles", new)
+        timings["dedup_ms"] = (time.perf_counter() - began) * 1e3
+        names = {"seeds": "batch" if self._seeds is None else "seeds", "raster": "raster", "witnesses": "witnesses", "triangles": "triangles"}
+        last = self._last_batch if batch_id is None else batch_id
+        self._commit({k: f"{new}/{v}" for k, v in names.items()}, generation=new, seed_count=self.seed_count + n, has_pending=True, valued=valued, last_batch=last)
+        self._seeds, self._raster, self._witnesses, self._triangles, self.timings = everyone, raster, witnesses, triangles, timings
 
     def insert_deferred_timed(self, seeds, values=None) -> dict[str, float]:
         self.insert_deferred(seeds, values)
@@ -168,31 +221,33 @@ class Delaunay:
         return out[0], out[1], held | out[2]
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        """For ``writeStream.foreachBatch``: a batch that comes again is skipped."""
-        if batch_id not in self._seen_batches:
-            self.insert_deferred(batch)
-            self._seen_batches.add(batch_id)
+        """For ``writeStream.foreachBatch``, whose ids rise: a batch that comes again is skipped, also after ``reopen``."""
+        if batch_id > self._last_batch:
+            self.insert_deferred(batch, batch_id=batch_id)
 
     # assignment
 
     def _assign(self) -> None:
-        """(px, py, a, b, c) of covered pixels; after the first time only tiles of triangles that came or went."""
+        """(px, py, a, b, c) of covered pixels; after the first time only tiles of triangles that came or went, unless these are most."""
         now = topology.with_corners(self._triangles.select("triangle_id", "a", "b", "c"), self._seeds)
         pixels = voronoi.crop(self._raster, self.width, self.height).select("px", "py")
-        key = ["a", "b", "c"]
-        if self._assigned is None:
-            todo, keep = pixels, None
-        else:
+        key, run, mine = ["a", "b", "c"], uuid.uuid4().hex[:8], self.generation
+        todo, keep = pixels, None
+        if self._assigned is not None:
             before = self._final_triangles
             gone, come = before.join(now.select(*key), key, "left_anti"), now.join(before.select(*key), key, "left_anti")
-            tiles = assign.tiled(gone.unionByName(come, allowMissingColumns=True)).select("tx", "ty").distinct()
-            bins = pixels.withColumns({"tx": F.floor(F.col("px") / assign.TILE).cast("int"), "ty": F.floor(F.col("py") / assign.TILE).cast("int")})
-            todo = bins.join(tiles, ["tx", "ty"], "left_semi").select("px", "py")
-            keep = self._assigned.join(todo, ["px", "py"], "left_anti")
+            dirty = self._store(assign.tiled(gone.unionByName(come, allowMissingColumns=True)).select("tx", "ty").distinct(), f"dirty-{run}")
+            tiles = -(-self.width // assign.TILE) * -(-self.height // assign.TILE)
+            if dirty.count() < FULL_SHARE * tiles:
+                bins = pixels.withColumns({"tx": F.floor(F.col("px") / assign.TILE).cast("int"), "ty": F.floor(F.col("py") / assign.TILE).cast("int")})
+                todo = bins.join(dirty, ["tx", "ty"], "left_semi").select("px", "py")
+                keep = self._assigned.join(todo, ["px", "py"], "left_anti")
         held = assign.containing(todo, self._triangles, self._seeds, ("px", "py"))
         held = held.join(self._triangles.select("triangle_id", *key), "triangle_id").select("px", "py", *key)
-        self._assigned = self._store(held if keep is None else keep.unionByName(held), f"assigned-{uuid.uuid4().hex[:8]}")
-        self._final_triangles = self._store(now, "final-triangles")
+        assigned = self._store(held if keep is None else keep.unionByName(held), f"assigned-{run}")
+        final = self._store(now, f"final-triangles-{run}")
+        self._commit({"assigned": f"{mine}/assigned-{run}", "final_triangles": f"{mine}/final-triangles-{run}"}, has_pending=False)
+        self._assigned, self._final_triangles = assigned, final
 
     def _ready(self) -> None:
         if self._seeds is None:
@@ -202,7 +257,6 @@ class Delaunay:
         self._ready()
         if self.has_pending:
             self._assign()
-            self.has_pending = False
 
     def _ranked(self) -> DataFrame:
         return with_rank(self._seeds.withColumnRenamed("seed_id", "key"), F.col("x"), ("x", "y"), "seed_id")
