@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions.padding import max_boundary_spacing
+from gridloom.functions.padding import max_boundary_spacing, resolve_padding
 from gridloom.operators import assign, field, seeds as seed_ops, topology, voronoi
+from gridloom.plans.pipeline import GridTriangulation, triangulate_frame
 from gridloom.streaming.mesh import Delaunay, insert_batch
 
 SIDE, PADDING = 64, 16
 _PLACED = {
     "supplier": "SELECT (s_suppkey*37+s_nationkey*11) % {side} x, CAST(floor(abs(s_acctbal)) AS BIGINT) % {side} y, s_acctbal v FROM supplier",
-    "customer": "SELECT (c_custkey*7919) % {side} x, CAST(floor(abs(c_acctbal)) AS BIGINT) % {side} y, c_acctbal v FROM customer",
 }
 
 
@@ -130,7 +131,7 @@ def edges(spark, sf_dir):
 
 def edge_scores(spark, sf_dir):
     s = Scene(spark, sf_dir)
-    return field.edge_scores(field.edges(s.triangles), s.seeds, 4.0).select("edge_idx", F.round("score", 6).alias("score"))
+    return field.edge_scores(field.edges(s.triangles), s.seeds, 4.0).select("edge_idx", F.round(F.col("score").cast("double"), 6).alias("score"))
 
 
 def select_midpoints(spark, sf_dir):
@@ -191,6 +192,106 @@ def mesh_edges(spark, sf_dir):
     return _mesh(spark, sf_dir).get_edges()
 
 
+def _in_one(spark, sf_dir) -> Delaunay:
+    """All seeds in one batch, so that insertion ids are ranks."""
+    mesh = Delaunay(SIDE, SIDE, 1 << 20, PADDING, spark)
+    mesh.insert_deferred(ranked(spark, sf_dir).select("x", "y", "value"))
+    return mesh
+
+
+def _halves(spark, sf_dir) -> tuple[Delaunay, list[DataFrame]]:
+    s = ranked(spark, sf_dir)
+    return Delaunay(SIDE, SIDE, 1 << 20, PADDING, spark), [s.where(F.col("seed_id") % 2 == k).select("x", "y") for k in (0, 1)]
+
+
+def _pixels(spark, raster: np.ndarray, names: tuple[str, ...], first: int = 0) -> DataFrame:
+    """(px, py, names) from an array of the image, as the array calls return it."""
+    y, x = np.indices(raster.shape[:2])
+    kinds = ", ".join(f"{n} {'long' if n == 'dist2' else 'int'}" for n in names)
+    rows = np.column_stack([x.ravel() + first, y.ravel() + first, raster.reshape(-1, len(names))]).tolist()
+    return spark.createDataFrame(rows, f"px int, py int, {kinds}")
+
+
+def mesh_insert(spark, sf_dir):
+    """One call an insertion; the dictionary of triangles after the second."""
+    mesh, halves = _halves(spark, sf_dir)
+    mesh.insert(halves[0])
+    found, _ = mesh.insert(halves[1])
+    return spark.createDataFrame([(k, *v) for k, v in found.items()], "triangle_id int, x int, y int, a int, b int, c int")
+
+
+def mesh_insert_timed(spark, sf_dir):
+    """The array of pixels after two timed insertions, the second one reopened from its folder."""
+    mesh, halves = _halves(spark, sf_dir)
+    mesh.insert_timed(halves[0])
+    _, raster, _ = Delaunay.reopen(mesh.path, spark).insert_timed(halves[1], as_arrays=True)
+    return _pixels(spark, raster, ("seed_id", "dist2", "triangle_id"))
+
+
+def mesh_voronoi(spark, sf_dir):
+    return _mesh(spark, sf_dir).get_voronoi_grid()
+
+
+def mesh_seeds(spark, sf_dir):
+    """The three getters of seeds, joined by insertion id."""
+    mesh = _mesh(spark, sf_dir)
+    values = mesh.get_values().select("ins_id", F.round(F.col("value").cast("double"), 6).alias("value"))
+    return mesh.get_seeds().join(values, "ins_id").join(mesh.sorted_rank(), "ins_id")
+
+
+def mesh_triangle_ids(spark, sf_dir):
+    return _mesh(spark, sf_dir).get_triangles()
+
+
+def mesh_properties(spark, sf_dir):
+    m = _in_one(spark, sf_dir)
+    row = (m.width, m.height, m.max_seeds, m.border_padding, m.seed_count, m.generation, m.has_pending)
+    return spark.createDataFrame([row], "width int, height int, max_seeds int, border_padding int, seed_count long, generation int, has_pending boolean")
+
+
+def mesh_locate(spark, sf_dir):
+    return _in_one(spark, sf_dir).locate(query_points(spark, sf_dir))
+
+
+def mesh_in_circumsphere(spark, sf_dir):
+    return _in_one(spark, sf_dir).in_circumsphere(query_points(spark, sf_dir).withColumn("t", F.col("t") + 0.37))
+
+
+def mesh_midpoints(spark, sf_dir):
+    return _mesh(spark, sf_dir).select_midpoints(4.0, 50, 10.0)
+
+
+def one_call_grid(spark, sf_dir):
+    return triangulate_frame(spark, SIDE, SIDE, ranked(spark, sf_dir), PADDING).grid
+
+
+def two_step_triangles(spark, sf_dir):
+    """The array of triples from the timed two-step call."""
+    found, _, _ = GridTriangulation(spark).compute_timed(np.zeros((SIDE, SIDE, 2)), ranked(spark, sf_dir), PADDING, as_arrays=True)
+    return spark.createDataFrame([(i, *t) for i, t in enumerate(found.tolist())], "triangle_id int, a int, b int, c int")
+
+
+def two_step_grid(spark, sf_dir):
+    _, raster = GridTriangulation(spark).compute(np.zeros((SIDE, SIDE, 2)), ranked(spark, sf_dir), PADDING)
+    return _pixels(spark, raster, ("seed_id", "dist2", "triangle_id"))
+
+
+def two_step_padded(spark, sf_dir):
+    """The padded diagram that the debugging call returns besides."""
+    *_, padded = GridTriangulation(spark).compute_debug(np.zeros((SIDE, SIDE, 2)), ranked(spark, sf_dir), PADDING)
+    return _pixels(spark, padded, ("seed_id", "dist2"), -PADDING)
+
+
+def raw_witness_bound(spark, sf_dir):
+    """Witnesses of the padded canvas, and the most there could be."""
+    s, side = Scene(spark, sf_dir), SIDE + 2 * PADDING
+    return topology.witnesses(s.padded, s.seeds).agg(F.count(F.lit(1)).alias("n"), F.lit(topology.raw_bound(side, side)).cast("long").alias("bound"))
+
+
+def padding_resolved(spark, sf_dir):
+    return spark.createDataFrame([(p, resolve_padding(p)) for p in [None, *range(-1, 40)]], "given int, resolved int")
+
+
 def grid_summary(spark, sf_dir):
     """Share of pixels outside every triangle, and the largest distance to a seed."""
     none = F.sum((F.col("triangle_id") == assign.NO_TRIANGLE).cast("int"))
@@ -247,7 +348,8 @@ grd AS (SELECT px, py, seed_id, dist2, coalesce(triangle_id, -1) AS triangle_id
 _EDGE_SQL = f"""{_triangle_sql()},
 edg AS (SELECT CAST(row_number() OVER (ORDER BY a, b) - 1 AS INT) AS edge_idx, a, b FROM (SELECT a, b FROM tri UNION SELECT a, c FROM tri UNION SELECT b, c FROM tri)),
 sco AS (SELECT edge_idx, a, b, p.x AS ax, p.y AS ay, q.x AS bx, q.y AS by_,
-  CASE WHEN (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) < 16 THEN 0.0 ELSE abs(q.value - p.value) * sqrt(CAST((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) AS DOUBLE)) END AS score
+  CASE WHEN (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) < 16 THEN CAST(0 AS FLOAT)
+  ELSE CAST(abs(CAST(CAST(q.value AS FLOAT) AS DOUBLE) - CAST(CAST(p.value AS FLOAT) AS DOUBLE)) * sqrt(CAST((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) AS DOUBLE)) AS FLOAT) END AS score
   FROM edg JOIN seeds p ON p.seed_id = a JOIN seeds q ON q.seed_id = b)"""
 _POINT_SQL = f"""{_triangle_sql()},
 pts AS (SELECT o_orderkey AS qid, CAST(o_custkey % {SIDE} AS BIGINT) AS x, CAST(o_orderkey % {SIDE} AS BIGINT) AS y, CAST(o_orderkey % 7 AS DOUBLE) + 0.37 AS t FROM orders),
@@ -279,7 +381,7 @@ SQL = {
     "grid_coverage": f"WITH {_GRID_SQL} SELECT triangle_id, count(*) AS n FROM grd GROUP BY triangle_id",
     "device_pixels": f"WITH {_GRID_SQL} SELECT px, py, CASE WHEN triangle_id = -1 THEN 0 ELSE triangle_id END AS pixel_tid, seed_id, triangle_id = -1 AS outside FROM grd",
     "edges": f"WITH {_EDGE_SQL} SELECT edge_idx, a, b FROM edg",
-    "edge_scores": f"WITH {_EDGE_SQL} SELECT edge_idx, round(score, 6) AS score FROM sco",
+    "edge_scores": f"WITH {_EDGE_SQL} SELECT edge_idx, round(CAST(score AS DOUBLE), 6) AS score FROM sco",
     "select_midpoints": f"""WITH {_EDGE_SQL}, top AS (SELECT * FROM sco WHERE score > 10.0 ORDER BY score DESC, edge_idx LIMIT 50),
 mid AS (SELECT DISTINCT CAST(round_even((ax + bx) / 2.0, 0) AS INT) AS x, CAST(round_even((ay + by_) / 2.0, 0) AS INT) AS y FROM top)
 SELECT x, y FROM mid WHERE NOT EXISTS (SELECT 1 FROM seeds s WHERE s.x = mid.x AND s.y = mid.y)""",
@@ -291,6 +393,28 @@ SELECT x, y FROM mid WHERE NOT EXISTS (SELECT 1 FROM seeds s WHERE s.x = mid.x A
     "mesh_triangles": f"WITH {_INSERTED_SQL} SELECT l[1] AS a, l[2] AS b, l[3] AS c FROM (SELECT list_sort([p.ins_id, q.ins_id, r.ins_id]) AS l FROM tri JOIN ins p ON p.seed_id = a JOIN ins q ON q.seed_id = b JOIN ins r ON r.seed_id = c)",
     "mesh_edges": f"""WITH {_INSERTED_SQL} SELECT CAST(row_number() OVER (ORDER BY a, b) - 1 AS INT) AS edge_idx, a, b FROM (SELECT least(p.ins_id, q.ins_id) AS a, greatest(p.ins_id, q.ins_id) AS b
 FROM (SELECT a AS i, b AS j FROM tri UNION SELECT a, c FROM tri UNION SELECT b, c FROM tri) JOIN ins p ON p.seed_id = i JOIN ins q ON q.seed_id = j)""",
+    "mesh_insert": f"WITH {_triangle_sql()} SELECT triangle_id, x, y, a, b, c FROM tri",
+    "mesh_insert_timed": f"WITH {_GRID_SQL} SELECT * FROM grd",
+    "mesh_voronoi": f"WITH {_INSERTED_SQL} SELECT px, py, ins_id AS seed_id, dist2 FROM vor JOIN ins USING (seed_id) WHERE px >= 0 AND py >= 0 AND px < {SIDE} AND py < {SIDE}",
+    "mesh_seeds": f"WITH {_INSERTED_SQL} SELECT ins_id, x, y, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 6) AS value, seed_id FROM seeds JOIN ins USING (seed_id)",
+    "mesh_triangle_ids": f"WITH {_INSERTED_SQL} SELECT triangle_id, p.ins_id AS a, q.ins_id AS b, r.ins_id AS c FROM tri JOIN ins p ON p.seed_id = a JOIN ins q ON q.seed_id = b JOIN ins r ON r.seed_id = c",
+    "mesh_properties": f"WITH {_seed_sql()} SELECT {SIDE} AS width, {SIDE} AS height, {1 << 20} AS max_seeds, {PADDING} AS border_padding, count(*) AS seed_count, 1 AS generation, TRUE AS has_pending FROM seeds",
+    "mesh_locate": f"WITH {_POINT_SQL} SELECT qid, coalesce(triangle_id, -1) AS triangle_id FROM pts LEFT JOIN held USING (qid)",
+    "mesh_in_circumsphere": f"WITH {_SPHERE_SQL} SELECT qid, coalesce(inside, FALSE) AS inside, coalesce(triangle_id, -1) AS triangle_id FROM pts LEFT JOIN ans USING (qid)",
+    "mesh_midpoints": f"""WITH {_INSERTED_SQL}, edg AS (SELECT least(p.ins_id, q.ins_id) AS a, greatest(p.ins_id, q.ins_id) AS b, p.seed_id AS i, q.seed_id AS j
+  FROM (SELECT a AS i, b AS j FROM tri UNION SELECT a, c FROM tri UNION SELECT b, c FROM tri) JOIN ins p ON p.seed_id = i JOIN ins q ON q.seed_id = j),
+sco AS (SELECT a, b, p.x + q.x AS x2, p.y + q.y AS y2, (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) AS d,
+  CAST(abs(CAST(CAST(q.value AS FLOAT) AS DOUBLE) - CAST(CAST(p.value AS FLOAT) AS DOUBLE)) * sqrt(CAST((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) AS DOUBLE)) AS FLOAT) AS score
+  FROM edg JOIN seeds p ON p.seed_id = i JOIN seeds q ON q.seed_id = j),
+top AS (SELECT * FROM sco WHERE d >= 16 AND score > 10.0 ORDER BY score DESC, a, b LIMIT 50),
+mid AS (SELECT DISTINCT CAST(round_even(x2 / 2.0, 0) AS INT) AS x, CAST(round_even(y2 / 2.0, 0) AS INT) AS y FROM top)
+SELECT x, y FROM mid WHERE NOT EXISTS (SELECT 1 FROM seeds s WHERE s.x = mid.x AND s.y = mid.y)""",
+    "one_call_grid": f"WITH {_GRID_SQL} SELECT * FROM grd",
+    "two_step_triangles": f"WITH {_triangle_sql()} SELECT triangle_id, a, b, c FROM tri",
+    "two_step_grid": f"WITH {_GRID_SQL} SELECT * FROM grd",
+    "two_step_padded": f"WITH {_voronoi_sql(PADDING)} SELECT * FROM vor",
+    "raw_witness_bound": f"WITH {_triangle_sql()} SELECT count(*) AS n, CAST(2 * ({SIDE} + 2 * {PADDING} - 1) * ({SIDE} + 2 * {PADDING} - 1) AS BIGINT) AS bound FROM wit",
+    "padding_resolved": "SELECT CAST(p AS INT) AS given, CASE WHEN p IS NULL OR p = -1 THEN 16 ELSE CAST(p AS INT) END AS resolved FROM (SELECT range AS p FROM range(-1, 40) UNION ALL SELECT NULL)",
     "grid_summary": f"WITH {_GRID_SQL} SELECT round(sum(CASE WHEN triangle_id = -1 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) * 100, 6) AS outside_percent, round(sqrt(CAST(max(dist2) AS DOUBLE)), 6) AS max_distance FROM grd",
     "padding_spacing": "SELECT CAST(range AS INT) AS p, CAST(floor(sqrt(8 * range)) AS INT) AS spacing FROM range(65)",
 }
