@@ -1,8 +1,9 @@
 """Word hashes for whole Arrow batches of texts, in numpy, without a Python object for each word.
 
 A text's bytes go through a table of fixed random 64-bit numbers; prefix sums weighted by powers of an odd
-base give the hash of any byte range, taken modulo 2**64. Words are the runs of bytes other than 0x20 and
-0x09-0x0D, which are never part of a longer UTF-8 sequence.
+base give the hash of any byte range, taken modulo 2**64. A sum of powers modulo 2**64 cannot tell some long
+strings of repeating structure apart, so words beyond ``LONG_WORD`` bytes are hashed by xxh3 instead. Words are the
+runs of bytes other than 0x20 and 0x09-0x0D, which are never part of a longer UTF-8 sequence.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _BASE = 0x9E3779B97F4A7C13  # odd, 3 modulo 4
 _BLOCK = 1 << 20
+LONG_WORD = 48
 U64 = np.uint64
 
 
@@ -64,7 +67,12 @@ def _span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bo
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(values[data] * up[: len(data)], out=sums[1:])
         h = (sums[end] - sums[start]) * down[start]
-        return mix(h ^ ((end - start).astype(np.uint64) * U64(0x9E3779B97F4A7C15)))
+        out = mix(h ^ ((end - start).astype(np.uint64) * U64(0x9E3779B97F4A7C15)))
+    for i in np.flatnonzero(end - start > LONG_WORD):
+        word = data[start[i] : end[i]]
+        word = np.where((word >= 65) & (word <= 90), word + 32, word).astype(np.uint8) if lower else word
+        out[i] = xxhash.xxh3_64_intdigest(word.tobytes())
+    return out
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
