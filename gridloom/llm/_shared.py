@@ -28,12 +28,6 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def ready_checkpoints(spark: SparkSession) -> None:
-    """Let ``DataFrame.checkpoint`` write to the shared folder."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again.
 
@@ -54,14 +48,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_bytes(df: DataFrame, text: str = "text") -> int:
-    """UTF-8 bytes of all texts: one aggregate row, used to choose partition counts."""
-    return int(df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0])
-
-
-def fan_out(spark: SparkSession, nbytes: int, per_task: int) -> int:
-    """Partitions so that each holds about ``per_task`` bytes; never fewer than the session's shuffle partitions."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nbytes // per_task))
+def fan_out(spark: SparkSession, n: int, per_task: int) -> int:
+    """Partitions so that each holds about ``per_task`` of ``n``; never fewer than the session's shuffle partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // per_task + 1)
 
 
 #: Rows of one or two long columns that may be broadcast: some 16 MB.

@@ -9,12 +9,14 @@ Counts never gather by document or by frequent word. Texts are read once into bl
 ``BLOCK_TOKENS`` tokens: a written table that holds, for every block, its documents' tokens as indexes into
 the block's own sorted list of word hashes. A block asks for the n-grams it has, each once with its count,
 as packed sorted arrays, one for each hash shard; the shards add up what all blocks sent and answer in the
-same order. What is shuffled are these arrays, so a word that is in every text costs one number a block, and
-a task holds one block or one shard of bounded size.
+same order. What is shuffled are these arrays, so a word that is in every text costs one number a block. Every
+shard has a task of its own, whose arrays hold what all blocks ask of it: the number of shards follows the number
+of tokens, so that stays about ``SHARD_TOKENS`` tokens' worth and a few bytes for each block.
 
 Defined edge cases: a null or empty text is one end token; without any training text every probability is
-uniform over one outcome and the base is log10(1/1) = 0; rows with a null id count as held out of nothing and
-are scored like others; repeated rows count repeatedly; an empty table gives no rows.
+uniform over one outcome and the base is log10(1/1) = 0; rows with a null id are scored like others; a row for which
+``learn`` is null does not train; repeated rows count repeatedly; an empty table gives no rows; columns other than the
+named ones are not read.
 """
 
 from __future__ import annotations
@@ -27,15 +29,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm._hashing import U64, mix, slices, text_buffers, word_hashes
-from gridloom.llm._shared import fan_out, text_bytes, written
+from gridloom.llm._shared import fan_out, written
 
-BLOCK_TOKENS = 1_500_000
-SHARD_BYTES = 12 << 20  # of text a shard
+BLOCK_TOKENS = 2_500_000
+SHARD_TOKENS = 2_000_000
+BIGRAM_BITS = 56  # of a bigram's hash are sent; words keep 64
 END = mix(np.array([0x1F2E3D4C5B6A7988], np.uint64))[0]
 TRAIN, TUNE, TEST = 0, 1, 2
 LEVELS = 12  # cells a decade in the held-out counts
 
-_BLOCK = "block string, role int, doc_ids binary, known binary, lengths binary, words binary, tokens binary"
+_BLOCK = "block string, role int, n long, doc_ids binary, known binary, lengths binary, words binary, tokens binary"
 _ASK = "shard int, block string, role int, kind int, hashes binary, counts binary"
 _ANSWER = "block string, role int, kind int, shard int, total binary, main binary"
 
@@ -75,6 +78,7 @@ class _Gather:
         return {
             "block": f"{name}-{self.role}",
             "role": self.role,
+            "n": len(h),
             "doc_ids": np.array(self.ids, "<i8").tobytes(),
             "known": np.array(self.nulls, np.uint8).tobytes(),
             "lengths": _pack(np.array(self.lengths, np.int64)),
@@ -87,7 +91,7 @@ def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     from pyspark import TaskContext
 
     task, serial = TaskContext.get().partitionId(), 0
-    schema = pa.schema([("block", pa.string()), ("role", pa.int32()), *((n, pa.binary()) for n in ("doc_ids", "known", "lengths", "words", "tokens"))])
+    schema = pa.schema([("block", pa.string()), ("role", pa.int32()), ("n", pa.int64()), *((n, pa.binary()) for n in ("doc_ids", "known", "lengths", "words", "tokens"))])
     open_: dict[int, _Gather] = {}
     for whole in batches:
         for batch in slices(whole, 2):
@@ -130,8 +134,7 @@ class _Block:
         self.left, self.right = keys // (v + 1), keys % (v + 1)
         with np.errstate(over="ignore"):
             heads = np.append(self.words, END)
-            h = mix(heads[self.left] * U64(0xC2B2AE3D27D4EB4F) + self.words[self.right]) & ~U64(0xFFFF)
-        # 48 bits of a bigram's hash are sent; words keep 64
+            h = mix(heads[self.left] * U64(0xC2B2AE3D27D4EB4F) + self.words[self.right]) & ~U64((1 << (64 - BIGRAM_BITS)) - 1)
         self.bigrams, first = np.unique(h, return_inverse=True)
         self.bigram_of = first[self.bigram_of]
         self.pair_at = np.zeros(len(self.bigrams), np.int64)
@@ -165,35 +168,39 @@ def asks(table: DataFrame, shards: int) -> DataFrame:
     return table.mapInArrow(run, _ASK)
 
 
-def _answer(key: tuple, rows: pa.Table) -> pa.Table:
-    """Adds up a shard's asks; each gets its n-grams' counts over all training texts, and over those not held out."""
-    got = rows.select(["block", "role", "kind", "hashes", "counts"]).to_pylist()
-    out = []
+def _answer_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up one shard's asks; each gets its n-grams' counts over all training texts, and over those not held out."""
+    shard, heads, lists, numbers = None, {1: [], 2: []}, {1: [], 2: []}, {1: [], 2: []}
+    for batch in batches:
+        for i in range(batch.num_rows):
+            shard, block, role, kind, hashes, counts = (batch.column(j)[i].as_py() for j in range(6))
+            heads[kind].append((block, role))
+            lists[kind].append(_unpack_sorted(hashes))
+            numbers[kind].append(counts if role != TEST else b"")
+    schema = pa.schema([("block", pa.string()), ("role", pa.int32()), ("kind", pa.int32()), ("shard", pa.int32()), ("total", pa.binary()), ("main", pa.binary())])
     for kind in (1, 2):
-        own = [r for r in got if r["kind"] == kind]
-        if not own:
+        if not lists[kind]:
             continue
-        lists = [_unpack_sorted(r["hashes"]) for r in own]
-        every = np.unique(np.concatenate(lists))
+        every = np.unique(np.concatenate(lists[kind]))
         total, main = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
-        places = []
-        for r, h in zip(own, lists, strict=True):
+        for (_, role), h, n in zip(heads[kind], lists[kind], numbers[kind], strict=True):
+            if role != TEST:
+                at = np.searchsorted(every, h)
+                total[at] += _unpack(n)
+                if role == TRAIN:
+                    main[at] += _unpack(n)
+        out, held = [], 0
+        for (block, role), h in zip(heads[kind], lists[kind], strict=True):
             at = np.searchsorted(every, h)
-            places.append(at)
-            if r["role"] != TEST:
-                n = _unpack(r["counts"])
-                total[at] += n
-                if r["role"] == TRAIN:
-                    main[at] += n
-        for r, at in zip(own, places, strict=True):
-            out.append(
-                {"block": r["block"], "role": r["role"], "kind": kind, "shard": key[0].as_py(), "total": _pack(total[at]), "main": _pack(main[at]) if r["role"] == TUNE else b""}
-            )
+            out.append({"block": block, "role": role, "kind": kind, "shard": shard, "total": _pack(total[at]), "main": _pack(main[at]) if role == TUNE else b""})
+            held += len(h)
+            if held > 4 << 20:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out, held = [], 0
         if kind == 1:  # the vocabulary's size and tokens, as a row of no block
             stats = np.array([np.count_nonzero(total), total.sum(), np.count_nonzero(main), main.sum()], np.int64)
-            out.append({"block": None, "role": -1, "kind": 0, "shard": key[0].as_py(), "total": stats.tobytes(), "main": b""})
-    schema = pa.schema([("block", pa.string()), ("role", pa.int32()), ("kind", pa.int32()), ("shard", pa.int32()), ("total", pa.binary()), ("main", pa.binary())])
-    return pa.Table.from_pylist(out, schema)
+            out.append({"block": None, "role": -1, "kind": 0, "shard": shard, "total": stats.tobytes(), "main": b""})
+        yield pa.RecordBatch.from_pylist(out, schema)
 
 
 def _joined(rows: pa.Table, field: str) -> tuple[dict, np.ndarray, np.ndarray]:
@@ -229,12 +236,13 @@ def _value(level: np.ndarray) -> np.ndarray:
     return np.where(level == 0, 0.0, 10.0 ** (-(level - 0.5) / LEVELS))
 
 
-_UNION = "block string, shard int, kind int, total binary, main binary, role int, doc_ids binary, known binary, lengths binary, words binary, tokens binary"
-
-
 def _together(table: DataFrame, answers: DataFrame) -> DataFrame:
-    """Blocks with their answers; the rows of one block meet, and no more than a block's size does."""
-    return table.unionByName(answers.where(F.col("block").isNotNull()), allowMissingColumns=True).groupBy("block")
+    """Blocks with their answers; the rows of one block meet, and no more than a block's size does.
+
+    There are more partitions than blocks, so that few blocks share a task.
+    """
+    tasks = fan_out(table.sparkSession, 4 * table.count(), 1)
+    return table.unionByName(answers.where(F.col("block").isNotNull()), allowMissingColumns=True).repartition(tasks, "block").groupBy("block")
 
 
 def held_out_cells(table: DataFrame, answers: DataFrame, n: int, starts: int) -> DataFrame:
@@ -290,9 +298,10 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
     """One row a document: doc_id, n_tokens, n_known, train_tokens, base_score, score. ``learn``: which rows train."""
     tuning = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit("tune")), F.lit(10)) == 0
     role = F.when(~F.coalesce(learn, F.lit(False)), F.lit(TEST)).when(tuning, F.lit(TUNE)).otherwise(TRAIN)
-    shards = fan_out(docs.sparkSession, text_bytes(docs, text), SHARD_BYTES)
     table = blocks(docs, role, doc_id, text)
-    answers = written(asks(table, shards).groupBy("shard").applyInArrow(_answer, _ANSWER), "lm-answers")
+    tokens = table.agg(F.sum("n")).first()[0] or 0
+    shards = fan_out(docs.sparkSession, tokens, SHARD_TOKENS)
+    answers = written(asks(table, shards).repartitionById(shards, "shard").mapInArrow(_answer_batches, _ANSWER), "lm-answers")
     v, n, v_main, n_main = np.sum([np.frombuffer(r[0], np.int64) for r in answers.where("kind = 0").select("total").collect()] or [np.zeros(4, np.int64)], axis=0).tolist()
     ends = _text_counts(table)
     cells = held_out_cells(table, answers, n_main, ends[TRAIN])
