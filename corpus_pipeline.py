@@ -18,7 +18,7 @@ KEY = "row_key"  # of a stage's input, where ids may be null or repeated
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality_rules.quality_filter(docs, carry=COLUMNS)
+    judged = quality_rules.quality_filter(docs, carry=COLUMNS, complete=False)  # the rules include the base ones
     return judged.where("kept").select("carried.*")
 
 
