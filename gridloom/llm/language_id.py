@@ -1,16 +1,19 @@
 """Language identification by compression: the language whose raw-content dictionary makes a text smallest.
 
-Training takes a bounded sample of labelled texts: ``SAMPLE_DOCS`` texts of each language, those with the
-least hash of their id, and up to ``EXCERPT`` characters of each; that is at most about 200 KB a language.
-Which texts are taken depends on their ids alone, so reruns agree. A text is compressed as a whole, in
-lower-case words and pieces short enough for the dictionary to matter, once with each language's zstandard dictionary.
+Training takes a bounded sample of the labelled texts: all of them are cut into pieces of ``PIECE`` characters, and
+of each language the ``SAMPLE_PIECES`` pieces with the least hash are taken, wherever in a text they stand. That is at
+most 160,000 characters a language. Which are taken depends on the texts alone, so reruns agree.
+
+A text is reduced to lower-case words and read as a ring, in blocks of ``RING`` bytes until every byte was read: the
+last block is filled up from the text's beginning, which costs a match or two. Each block is compressed with each
+language's zstandard dictionary, by one setting for every length.
 
 The margin is how much larger the second best result is. A text whose margin is narrow is marked
 ``rejected``; it still has the best language in ``lang_pred``.
 
 Defined edge cases: ``und`` with score 0 for a null text and for one without a letter, and for every text if
 nothing could be learned; ties go to the first language in code-point order; rows whose lang or text is null
-are not learned from.
+are not learned from; equal texts of one language are learned from once; columns other than the named ones are not read.
 """
 
 from __future__ import annotations
@@ -24,31 +27,30 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS = 120
-EXCERPT = 1_500
-PIECE = 4_096
-LEVEL = 3
-SMALL = 600
-TINY = 64
+SAMPLE_PIECES = 80
+PIECE = 2_000
+RING = 4_096
 _LETTER = regex.compile(r"\p{L}").search
 _LETTERS = regex.compile(r"\p{L}+").findall
 
 
-def train(docs: DataFrame, chosen: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
+def train(docs: DataFrame, chosen: Column, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """Raw dictionary content by language, from rows where ``chosen`` holds."""
     rows = docs.where(chosen & F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    rows = rows.select(F.col(lang).alias("lang"), F.col(doc_id).cast("string").alias("id"), F.substring(text, 1, EXCERPT).alias("part"))
-    rows = rows.withColumn("at", F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    pieces = F.explode(F.sequence(F.lit(0), F.floor((F.char_length(text) - 1) / PIECE).cast("int")))
+    rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"), pieces.alias("i"))
+    rows = rows.withColumn("at", F.shiftrightunsigned(F.xxhash64("h", "i"), 24))
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.approx_count_distinct("at", 0.03)).collect()}  # one row a language
     if not counts:
         return {}
-    share = F.lit(0.0)
-    for name, n in counts.items():  # a hash bound that about 1.5 times the wanted texts stay below
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, (1.5 * SAMPLE_DOCS + 30) / n))).otherwise(share)
+    bound = F.lit(0)
+    for name, n in counts.items():  # a hash bound that half as many again as the wanted pieces stay below
+        bound = F.when(F.col("lang") == name, F.lit(min(1 << 40, int((1.5 * SAMPLE_PIECES + 30) / n * (1 << 40))))).otherwise(bound)
+    least = rows.where(F.col("at") < bound).select("lang", "at", F.expr(f"substring(text, i * {PIECE} + 1, {PIECE})").alias("part"))
     found: dict[str, list] = {}
-    for r in rows.where(F.col("at") < share).collect():
-        found.setdefault(r["lang"], []).append((r["at"], r["id"], r["part"]))
-    return {k: "".join(plain(x[2]) for x in sorted(v)[:SAMPLE_DOCS]).encode() for k, v in sorted(found.items())}
+    for r in least.groupBy("lang", "at").agg(F.min("part").alias("part")).collect():  # some 150 short rows a language
+        found.setdefault(r["lang"], []).append((r["at"], r["part"]))
+    return {k: "".join(plain(x[1]) for x in sorted(v)[:SAMPLE_PIECES]).encode() for k, v in sorted(found.items())}
 
 
 def plain(text: str) -> str:
@@ -56,32 +58,34 @@ def plain(text: str) -> str:
     return " " + " ".join(_LETTERS(text.lower())) + " "
 
 
+def ring(body: bytes, size: int = RING) -> list[bytes]:
+    """Blocks of ``size`` bytes that hold every byte of ``body``, the last filled up from its beginning."""
+    whole = -(-len(body) // size) * size
+    body = (body * (whole // len(body) + 1))[:whole]
+    return [body[i : i + size] for i in range(0, whole, size)]
+
+
 class Compressors:
-    """One pair of compressors a language: a thorough one with short matches for small texts, else a fast one."""
+    """One compressor a language. Matches are short, as a dictionary's words are."""
 
     def __init__(self, content: dict[str, bytes]):
         self.names = sorted(content)
-        thorough = zstandard.ZstdCompressionParameters.from_level(19, min_match=3, strategy=zstandard.STRATEGY_BTULTRA2, write_content_size=False, write_checksum=False, write_dict_id=False)
-        self.fast, self.small = [], []
+        bare = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
+        setting = zstandard.ZstdCompressionParameters.from_level(5, min_match=4, strategy=zstandard.STRATEGY_LAZY, search_log=2, **bare)
+        self.own = []
         for name in self.names:
             d = zstandard.ZstdCompressionDict(content[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            self.fast.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
-            d = zstandard.ZstdCompressionDict(content[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(compression_params=thorough)
-            self.small.append(zstandard.ZstdCompressor(dict_data=d, compression_params=thorough))
+            d.precompute_compress(compression_params=setting)
+            self.own.append(zstandard.ZstdCompressor(dict_data=d, compression_params=setting))
 
     def sizes(self, text: str) -> list[int]:
-        body = plain(text).encode()
-        if len(body) <= TINY:
-            body *= 6  # zstandard leaves a few bytes as they are; repeats cost one match more and let it look for the first
-        pieces = [body[i : i + PIECE] for i in range(0, len(body), PIECE)]
-        return [sum(len(c.compress(p)) for p in pieces) for c in (self.small if len(body) <= SMALL else self.fast)]
+        blocks = ring(plain(text).encode())
+        return [sum(len(c.compress(x)) for x in blocks) for c in self.own]
 
 
 def identify(docs: DataFrame, content: dict[str, bytes], doc_id: str = "doc_id", text: str = "text", narrow: float = 0.01) -> DataFrame:
     """One row a document: doc_id, lang_pred, score, margin, rejected."""
-    shared = docs.sparkSession.sparkContext.broadcast(content)  # about 200 KB a language
+    shared = docs.sparkSession.sparkContext.broadcast(content)  # at most 160,000 characters a language
     schema = "doc_id long, lang_pred string, score double, margin double, rejected boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
