@@ -32,11 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.llm._hashing import slices, text_buffers, word_spans
-from gridloom.llm._shared import WORD, written
+from gridloom.llm._shared import WORD, fan_out, written
 
 BLOCK = 64
 LIMIT = 3
-CHUNKS = 1024
+CHUNK_ROWS = 50_000  # rows that are laid out by one task, on average
+SLOT_STEP = 20_000  # slots of one range
+SLOT_TASK = 1_000_000  # slots of one task
 _NULL = "\x00null"
 
 
@@ -59,29 +61,36 @@ def fill_targets(sizes: list[int], weights: list[float], limit: float = LIMIT) -
     return target
 
 
-def draw_counts(quotas: list[int], shards: int, seed: int) -> np.ndarray:
-    """(shards, sources) slot counts: a multinomial draw a shard, evened out to the quotas."""
-    rng = np.random.default_rng(seed)
-    q = np.array(quotas, np.int64)
-    total = int(q.sum())
+def apportion(n: int, have: list[int]) -> list[int]:
+    """n split in proportion to ``have``, by largest remainders; none gets more than it has if n is at most their sum."""
+    total = sum(have)
     if not total:
-        return np.zeros((shards, len(q)), np.int64)
-    per = np.full(shards, total // shards, np.int64)
-    per[: total % shards] += 1
-    counts = np.stack([rng.multinomial(n, q / total) for n in per]).astype(np.int64)
-    for s in range(len(q)):
-        excess = int(counts[:, s].sum() - q[s])
-        if excess > 0:  # give back in proportion to what each shard drew
-            counts[:, s] -= rng.multivariate_hypergeometric(counts[:, s], excess) if counts[:, s].sum() < 10**9 else _share(counts[:, s], excess)
-        elif excess < 0:
-            counts[:, s] += rng.multinomial(-excess, per / total)
-    return counts
+        return [0] * len(have)
+    out, rest = map(list, zip(*(divmod(n * x, total) for x in have), strict=True))
+    for i in sorted(range(len(have)), key=lambda i: (-rest[i], i))[: n - sum(out)]:
+        out[i] += 1
+    return out
 
 
-def _share(have: np.ndarray, n: int) -> np.ndarray:
-    out = have * n // have.sum()
-    out[: n - int(out.sum())] += 1
-    return np.minimum(out, have)
+def draw_counts(quotas: list[int], shards: int, seed: int) -> np.ndarray:
+    """(shards, sources) slot counts: a multinomial draw a shard, evened out to the quotas.
+
+    What a source drew above its quota is given back, and what it lacks added, in proportion to what each shard drew.
+    """
+    rng = np.random.default_rng(seed)
+    total = sum(quotas)
+    if not total:
+        return np.zeros((shards, len(quotas)), np.int64)
+    share = np.array(quotas, float) / total
+    per = [total // shards + (h < total % shards) for h in range(shards)]
+    counts = [rng.multinomial(n, share / share.sum()).tolist() for n in per]
+    for s, quota in enumerate(quotas):
+        drew = [row[s] for row in counts]
+        excess = sum(drew) - quota
+        even = apportion(abs(excess), drew if sum(drew) >= abs(excess) else per)
+        for h in range(shards):
+            counts[h][s] += -even[h] if excess > 0 else even[h]
+    return np.array(counts, np.int64)
 
 
 def permute(k: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -108,20 +117,28 @@ def layout(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
 
     ``row`` names a column of unique numbers; without it the rows are numbered here.
 
-    Offsets are sums by hash chunk first, then within a chunk, so a source of any size is spread over CHUNKS groups.
+    Offsets are sums by hash chunk first, then within a chunk, so a source of any size is spread over many groups.
+    A chunk is a hash of the id and the text; their number follows the number of rows. Rows of one id with different
+    texts are spread; only equal rows share a chunk, and the partition they were read in spreads these over 64.
     """
     own = [] if row is None else [F.col(row).alias("row")]
     rows = docs.select(
-        F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source), F.lit(_NULL)).alias("src"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *own
-    )
-    rows = written(rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(CHUNKS)).cast("int")), "sizes")
-    sums = rows.groupBy("src", "chunk").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("src", "chunk", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("src", "chunk").orderBy("doc_id", "size", *(["row"] if own else [])).rowsBetween(Window.unboundedPreceding, -1)
+        F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source), F.lit(_NULL)).alias("src"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(text).alias("h"), F.pmod(F.spark_partition_id(), F.lit(64)).alias("split"), *own
+    )
+    rows = written(rows.withColumn("h", F.xxhash64("doc_id", F.col("h"))), "sizes")
+    twice = rows.groupBy("src", "h").agg(F.count(F.lit(1)).alias("n")).where(f"n > {CHUNK_ROWS}")  # few: each is many rows
+    rows = rows.join(F.broadcast(twice.select("src", "h", F.lit(64).alias("parts"))), ["src", "h"], "left")
+    rows = rows.withColumn("part", F.pmod("split", F.coalesce("parts", F.lit(1))))
+    chunks = max(1024, rows.count() // CHUNK_ROWS)
+    rows = rows.withColumn("chunk", F.pmod("h", F.lit(chunks)).cast("int")).drop("h", "split", "parts")
+    sums = rows.groupBy("src", "chunk", "part").agg(F.sum("size").alias("words"))
+    before = Window.partitionBy("src").orderBy("chunk", "part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("src", "chunk", "part", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("src", "chunk", "part").orderBy("doc_id", "size", *(["row"] if own else [])).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     key = F.col("row") if own else F.monotonically_increasing_id().alias("row")
-    return written(rows.join(sums, ["src", "chunk"]).select("doc_id", "src", "size", (F.col("base") + F.col("inner")).alias("first"), key), "layout")
+    return written(rows.join(sums, ["src", "chunk", "part"]).select("doc_id", "src", "size", (F.col("base") + F.col("inner")).alias("first"), key), "layout")
 
 
 def plan(laid: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit: float = LIMIT, block: int = BLOCK) -> pd.DataFrame:
@@ -147,10 +164,11 @@ def draw_slots(laid: DataFrame, sources: pd.DataFrame, shards: int = 64, seed: i
         for i, s in enumerate(sources.itertuples())
         if counts[h, i]
     ]
-    drawn = spark.createDataFrame(rows, "shard int, src string, blocks long, start long, place long, n long, no int").repartition("shard", "src")
-    step = 20_000  # slots of a row, so that no list is long
-    pieces = drawn.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))))
-    slots = pieces.withColumn("i", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + step, F.col("n")) - 1)))
+    drawn = spark.createDataFrame(rows, "shard int, src string, blocks long, start long, place long, n long, no int")
+    ranges = drawn.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(SLOT_STEP).cast("long"))))
+    tasks = fan_out(spark, int(counts.sum()), SLOT_TASK)
+    ranges = ranges.repartition(tasks, "shard", "src", "from")  # a stated number: by their bytes the short ranges would become one task
+    slots = ranges.withColumn("i", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + SLOT_STEP, F.col("n")) - 1)))
     slots = slots.select("shard", "src", "blocks", "no", (F.col("place") + F.col("i")).alias("place"), (F.col("start") + F.col("i")).alias("slot"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
