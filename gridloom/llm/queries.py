@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import byte_bpe, exact_dedup, language_id, lm_scoring, mixing, near_dedup, quality_classifier, quality_rules, sharding, url_filter
@@ -76,8 +76,9 @@ v AS (SELECT page_id, pos, regexp_extract(substr(url, pos + 3), '^[^/?#]*') AS r
 w AS (SELECT page_id, CASE WHEN pos > 0 THEN translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
              CASE WHEN pos > 0 THEN regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') ELSE '' END AS path FROM v),
 o AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
-h AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k, array_to_string(list_slice(string_split(host, '.'), -2, NULL), '.') AS domain, list_extract(string_split(host, '.'), -1) AS suffix
-      FROM w LEFT JOIN o USING (page_id) GROUP BY host),
+h0 AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k, array_to_string(list_slice(string_split(host, '.'), -2, NULL), '.') AS pair FROM w LEFT JOIN o USING (page_id) GROUP BY host),
+h AS (SELECT host, n, k, CASE WHEN pair IN {url_filter.LONG_SUFFIXES} THEN array_to_string(list_slice(string_split(host, '.'), -3, NULL), '.') ELSE pair END AS domain,
+             CASE WHEN pair IN {url_filter.LONG_SUFFIXES} THEN pair ELSE list_extract(string_split(host, '.'), -1) END AS suffix FROM h0),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY domain, suffix),
 x AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY suffix),
 xr AS (SELECT suffix, (k + s * p) / (n + s) AS xrate FROM x, ({_OP7_STRENGTH.format("x")})),
@@ -94,9 +95,14 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'al
 """
 
 
+def fold(folds: int, held_out: int) -> Column:
+    """Whether the CRC-32 of the id's decimal text leaves the remainder ``held_out``; a null id is in no fold that is held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held_out, F.lit(False))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    held_out = fold(3, 1)
     content = language_id.train(docs, ~held_out)
     out = language_id.identify(docs, content)
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
@@ -104,13 +110,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = lm_scoring.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2)
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    held_out = fold(7, 2)
+    out = lm_scoring.score(docs, ~held_out)
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    held_out = fold(4, 2)
     stats = quality_classifier.document_statistics(table(spark, sf_dir, "documents"))
     model = quality_classifier.fit(stats, table(spark, sf_dir, "labels"), ~held_out)
     return quality_classifier.classify(stats, model, 0.7).select("doc_id", held_out.alias("held_out"), "score", "predicted")
