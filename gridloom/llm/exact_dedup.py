@@ -11,7 +11,7 @@ all rows shrinks to one entry a part before anything is shuffled. The entries me
 index, whose answer returns to the rows by (digest, part): no key gathers more rows than one part has.
 
 Defined edge cases: a null text counts as empty and equals other empty texts; the row with the largest
-doc_id stays (a null doc_id is smaller than any other); repeated (doc_id, text) rows count in
+doc_id stays (a null doc_id is smaller than any other); columns other than the named ones are not read; repeated (doc_id, text) rows count in
 ``group_size`` and are all marked kept unless a row key is named, as nothing else tells them apart; with a row
 key exactly one row of a group is kept, of the largest doc_id the one with the largest key; an empty table
 gives no rows.
@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._shared import written
+from gridloom.llm._shared import fan_out, written
 
-_MASK = (1 << 64) - 1
+TASK_KEYS = 1_000_000  # entries that one task's index holds, on average
 _NONE = -(1 << 63)
 
 
@@ -219,7 +219,8 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256, and ``row`` if a column of unique numbers is named."""
     rows = digests(docs, doc_id, text, row)
     partial = rows.mapInArrow(_fold_parts, _PARTIAL)
-    merged = partial.repartition("sha").mapInArrow(_merge_parts, _MERGED)
+    tasks = fan_out(docs.sparkSession, rows.count(), TASK_KEYS)
+    merged = partial.repartition(tasks, "sha").mapInArrow(_merge_parts, _MERGED)
     out = rows.join(merged, ["sha", "n_bytes", "part"], "left")
     keep = F.when(F.col("keep_id") == _NONE, F.lit(None).cast("long")).otherwise(F.col("keep_id"))
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(keep)
