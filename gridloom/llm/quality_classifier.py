@@ -5,12 +5,13 @@ shrunk towards the pooled covariance and towards its diagonal; a text's score is
 difference of the two Gaussian log densities, taken as Mahalanobis distances by cached Cholesky factors,
 plus the log prior ratio, divided by a temperature that offsets the dependence among the statistics.
 
-Training uses all labelled rows that may be learned from, by sums that combine before they are shuffled: a
-count, a vector and a matrix for each class, whatever the size of the table.
+Training uses all labelled rows that may be learned from, by sums that combine before they are shuffled: one
+matrix of products a class and task, whatever the size of the table.
 
 Defined edge cases: null and empty texts have the statistics of no words and get a score like any other; a
 class without training rows makes every score the share of label 1 (0.5 without labels); several labels of
-one document count once, the least; rows with a null label do not train.
+one document count once, the least; rows with a null label do not train; repeated documents train and are scored
+repeatedly; columns other than the named ones are not read.
 """
 
 from __future__ import annotations
@@ -120,6 +121,7 @@ class Discriminant:
         mixed = [(1 - a) * s + a * pooled for a, s in zip(lean, own, strict=True)]
         mixed = [(1 - SHRINK_DIAGONAL) * s + SHRINK_DIAGONAL * flat for s in mixed]
         self.factors = [np.linalg.cholesky(s) for s in mixed]
+        self.whiten = [np.linalg.inv(f) for f in self.factors]  # kept, so that scoring a batch is one product
         self.log_det = [2 * float(np.log(np.diag(f)).sum()) for f in self.factors]
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -128,8 +130,8 @@ class Discriminant:
             return np.full(len(x), self.prior)
         density = []
         for c in (0, 1):
-            z = np.linalg.solve(self.factors[c], (x - self.means[c]).T)
-            density.append(-0.5 * ((z * z).sum(axis=0) + self.log_det[c]))
+            z = (x - self.means[c]) @ self.whiten[c].T
+            density.append(-0.5 * ((z * z).sum(axis=1) + self.log_det[c]))
         odds = (density[1] - density[0]) / TEMPERATURE + np.log(self.prior / (1 - self.prior))
         return 1.0 / (1.0 + np.exp(-np.clip(odds, -60, 60)))
 
@@ -137,12 +139,24 @@ class Discriminant:
 def fit(stats: DataFrame, labels: DataFrame, chosen: Column, doc_id: str = "doc_id", label: str = "quality") -> Discriminant:
     """Learn from the rows of ``labels`` where ``chosen`` holds (a Column over doc_id)."""
     marks = labels.where(F.col(label).isin(0, 1) & chosen).groupBy(F.col(doc_id).alias("doc_id")).agg(F.min(label).alias("label"))
-    rows = stats.join(marks, "doc_id").withColumn("y", F.concat(F.array(F.lit(1.0)), F.col("x")))
-    cells = rows.select("label", F.posexplode("y").alias("i", "a"), "y").select("label", "i", "a", F.posexplode("y").alias("j", "b")).where("i <= j")
+    rows = stats.join(marks, "doc_id").select(F.col("label").cast("int").alias("label"), "x")
     d = len(STATISTICS) + 1
-    total = np.zeros((2, d, d))
-    for r in cells.groupBy("label", "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v")).collect():  # 2 d (d + 1) / 2 rows
-        total[r["label"], r["i"], r["j"]] = total[r["label"], r["j"], r["i"]] = r["v"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, d, d))
+        for batch in batches:
+            if batch.num_rows:
+                y = np.column_stack([np.ones(batch.num_rows), np.stack(batch.column(1).to_numpy(zero_copy_only=False))])
+                mark = batch.column(0).to_numpy()
+                for c in (0, 1):
+                    total[c] += y[mark == c].T @ y[mark == c]
+        cell = np.arange(total.size, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total.ravel())], names=["cell", "v"])
+
+    total = np.zeros(2 * d * d)
+    for r in rows.mapInArrow(run, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect():  # 2 d d rows
+        total[r["cell"]] = r["v"]
+    total = total.reshape(2, d, d)
     return Discriminant(total[:, 0, 0], total[:, 0, 1:], total[:, 1:, 1:])
 
 
