@@ -5,7 +5,7 @@ Second tier: the others are merged from single bytes, kept as a linked list, wit
 stale heap entries are skipped. A bounded memo in front of both keeps what frequent pre-tokens encode to.
 
 A worker loads the rank file once, from the path it is given; nothing is copied or trained. Memory is
-bounded: vocabulary, two memos (``MEMO`` entries each) and one Arrow batch.
+bounded: vocabulary, two memos (``MEMO`` pieces of up to ``MEMO_CHARS`` characters each) and one Arrow batch.
 
 Defined edge cases: a null or empty text has no ids and decodes to no bytes; ids that are not in the
 vocabulary raise ``KeyError``; white space, control characters and unassigned code points are ordinary text.
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MEMO = 350_000
+MEMO_CHARS = 48
 #: White space other than the space and the line feed.
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -94,15 +95,17 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class _Memo(dict):
-    """Remembers what a piece of text encodes to."""
+    """Remembers what a piece of text encodes to: ``limit`` pieces of up to MEMO_CHARS characters, then it starts afresh."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, limit: int):
         super().__init__()
-        self.encode = encode
+        self.encode, self.limit = encode, limit
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         got = self.encode(piece)
-        if "\n" not in piece:  # two words across a line end hardly come again
+        if len(piece) <= MEMO_CHARS and "\n" not in piece:  # two words across a line end hardly come again
+            if len(self) >= self.limit:
+                self.clear()
             self[piece] = got
         return got
 
@@ -119,9 +122,8 @@ class ByteBPE:
         self.text_of = {v: str(v) for v in ranks.values()}
         self.single = [ranks[bytes([i])] for i in range(256)]
         self.split = regex.compile(pattern).findall
-        self.memo = _Memo(lambda piece: self.encode_piece(piece.encode()))
-        self.words = _Memo(lambda word: self._matches(" " + word))  # what follows a lone space
-        self.limit = memo
+        self.memo = _Memo(lambda piece: self.encode_piece(piece.encode()), memo)
+        self.words = _Memo(lambda word: self._matches(" " + word), memo)  # what follows a lone space
         self.lone_spaces = lone_spaces
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
@@ -166,9 +168,6 @@ class ByteBPE:
         return tuple(out)
 
     def encode(self, text: str) -> list[int]:
-        for memo in (self.memo, self.words):
-            if len(memo) > self.limit:
-                memo.clear()
         if not self.lone_spaces or not text:
             return list(self._matches(text))
         if _OTHER_SPACE.search(text) or "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " ":
