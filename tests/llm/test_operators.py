@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import byte_bpe, exact_dedup, language_id, lm_scoring, mixing, near_dedup, quality_classifier, quality_rules, sharding, url_filter
 from gridloom.llm._hashing import text_buffers, word_hashes
+from gridloom.llm._shared import keyed
 from gridloom.llm.queries import bpe_vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -80,12 +81,32 @@ def test_rules_against_brute_force(docs, rows):
 
 def test_rule_order_changes_nothing(docs):
     rules = quality_rules.default_rules()
-    stats = quality_rules.base_statistics(docs)
-    verdicts = [{(r.doc_id, r.rejected_by is None) for r in quality_rules.cascade(stats, order).collect()} for order in (rules, rules[::-1])]
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    verdicts = [{(r.doc_id, r.rejected_by is None) for r in quality_rules.cascade(texts, order).select("doc_id", "rejected_by").collect()} for order in (rules, rules[::-1])]
     assert verdicts[0] == verdicts[1]
+    brief = {(r.doc_id, r.kept) for r in quality_rules.quality_filter(docs, complete=False).collect()}
+    assert brief == verdicts[0] == {(r.doc_id, r.kept) for r in quality_rules.quality_filter(docs).collect()}
     ordered = quality_rules.order_rules(docs, rules)
     assert {x[0].name for x in ordered} == {r.name for r in rules}
     assert all(0 <= s <= 1 and c > 0 for _, s, c in ordered)
+    assert [x[0].name for x in quality_rules.order_rules(docs, rules)] == [x[0].name for x in ordered]
+
+
+def test_rejected_rows_pay_for_nothing(spark):
+    """A layer that raises an error is never reached for rows that an earlier rule rejects."""
+    docs = spark.createDataFrame([(1, "a"), (2, "b " * 60)], "doc_id long, text string")
+    trap = quality_rules.Layer(lambda: F.when(F.length("text") < 9, F.raise_error(F.lit("paid"))).otherwise(F.lit(0)).cast("long"), (), 1e6)
+    quality_rules.LAYERS["trap"] = trap
+    try:
+        short = next(r for r in quality_rules.default_rules() if r.name == "too_short")
+        rules = [short, quality_rules.Rule("trap", F.col("trap") > 0, ("trap",))]
+        texts = docs.select("doc_id", "text")
+        got = {r.doc_id: r.rejected_by for r in quality_rules.cascade(texts, rules).select("doc_id", "rejected_by").collect()}
+        assert got == {1: "too_short", 2: None}
+        with pytest.raises(Exception, match="paid"):
+            quality_rules.cascade(texts, rules[::-1]).select("rejected_by").collect()
+    finally:
+        del quality_rules.LAYERS["trap"]
 
 
 def test_rules_on_nothing(empty):
@@ -189,6 +210,30 @@ def test_near_against_brute_force(docs, rows):
     assert all(r.kept == (r.doc_id == r.class_id) for r in got)
 
 
+def test_work_on_one_family_grows_in_line(spark, monkeypatch):
+    """Texts with one to three changed words: most are like some others, many like none. Rows of the last round are counted."""
+    counts = []
+    last = near_dedup.last_round
+
+    def counted(rest, texts, single):
+        lone = F.when(F.col("label") != F.col("main"), F.ceil(F.col("size") / near_dedup.BLOCK)).otherwise(0)
+        counts.append(rest.agg(F.coalesce(F.sum(F.ceil((F.col("others") + 1) / (near_dedup.BLOCK // 2)) + lone), F.lit(0))).first()[0])
+        return last(rest, texts, single)
+
+    monkeypatch.setattr(near_dedup, "last_round", counted)
+    for n in (700, 2100):
+        rng = random.Random(1)
+        base, rows = [f"w{rng.randrange(3000)}" for _ in range(80)], []
+        for i in range(n):
+            words = list(base)
+            for _ in range(rng.randrange(1, 4)):
+                words[rng.randrange(80)] = f"w{rng.randrange(3000)}"
+            rows.append((i, " ".join(words)))
+        got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert got.count() == n
+        assert counts[-1] <= 24 * n  # no more rows than the texts have sketches
+
+
 def test_chains_across_one_bucket_are_found(spark):
     """Copies of copies: neighbours are alike, far ones are not, and all of them are one class."""
     rng = random.Random(9)
@@ -221,7 +266,7 @@ def test_sharding(docs, rows):
     slot_load = collections.Counter()
     for r in got:
         assert (r.size, r.text_crc32) == (len(text_of[r.doc_id]) + 1, zlib.crc32(text_of[r.doc_id]))
-        assert r.vslot == int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:3], 16)
+        assert r.vslot == int(hashlib.md5(f"{r.doc_id}:{r.text_crc32}".encode()).hexdigest()[:3], 16)
         places[r["shard"]].append(r.slot)
         load[r["shard"]] += r.size
         slot_load[r["shard"], r.vslot] += r.size
@@ -242,6 +287,33 @@ def test_map_versions(spark, empty):
     assert set(grown) == set(range(17)) and moved < sharding.SLOTS / 8
     assert maps.version == 2 and maps.tables[0].count() == sharding.SLOTS
     assert sharding.shard(empty).count() == 0
+    again = sharding.SlotMaps.reopen(spark, maps.path)
+    assert (again.version, again.versions, again.shards) == (2, maps.versions, 16)
+    again.rebalance(load, 17)
+    assert again.version == 3 and again.versions[-1] == grown
+    with pytest.raises(Exception, match="exist"):  # the other one does not know of version 3
+        maps.rebalance(load)
+
+
+def test_balancing_goes_on_until_no_move_helps():
+    """Far more moves than slots were once allowed for: one shard starts with everything."""
+    rng = random.Random(5)
+    load = [rng.randrange(1, 1000) for _ in range(sharding.SLOTS)]
+    out = sharding.rebalance([0] * sharding.SLOTS, load, 16)
+    total = collections.Counter()
+    for s, k in enumerate(out):
+        total[k] += load[s]
+    gap = max(total.values()) - min(total.values())
+    full = max(total, key=total.get)
+    assert len(total) == 16 and all(load[s] >= gap for s, k in enumerate(out) if k == full)
+
+
+def test_slots_of_one_repeated_row_are_gapless(spark):
+    got = sharding.shard(spark.createDataFrame([(7, "same")] * 500 + [(None, None)] * 50, "doc_id long, text string").repartition(6), 4).collect()
+    places = collections.defaultdict(list)
+    for r in got:
+        places[r["shard"]].append(r.slot)
+    assert len(got) == 550 and all(sorted(p) == list(range(len(p))) for p in places.values())
 
 
 # byte-level BPE
@@ -278,10 +350,11 @@ def test_minimal_perfect_hash():
 
 
 def test_mixing(docs, rows, empty):
-    mixed = mixing.mix(docs, block=8).persist()
+    docs = keyed(docs, "key", "mixing-test")
+    mixed = mixing.mix(docs, block=8, row="key").persist()
     got = mixed.collect()
     assert len(got) == len(rows)
-    assert sorted(map(str, mixing.mix(docs, block=8).collect())) == sorted(map(str, got))
+    assert sorted(map(str, mixing.mix(docs, block=8, row="key").collect())) == sorted(map(str, got))
     size, taken, target = collections.Counter(), collections.Counter(), {}
     for r in got:
         assert r.taken <= 3 * r.size
@@ -294,13 +367,13 @@ def test_mixing(docs, rows, empty):
         assert target[name] == (size[name], pytest.approx(t)) and abs(taken[name] - t) <= 8
     assert sum(want) == pytest.approx(sum(size.values()))
     text_of = {r[0]: r[1] or "" for r in rows}
-    cut = by_id(mixing.mixed_texts(docs.where("doc_id > 0"), mixed.where("doc_id > 0"), 8))
-    for r in got:
-        if r.doc_id > 0:
-            parts = [WORD.findall(x.text) for x in cut[r.doc_id]]
-            assert sum(map(len, parts)) == r.taken
-            own = collections.Counter(WORD.findall(text_of[r.doc_id]))
-            assert all(not collections.Counter(p) - own for p in parts)
+    cut = by_id(mixing.mixed_texts(docs, mixed, 8, row="key"))
+    every = by_id(mixed)
+    for i, own in every.items():  # two rows have the id 0
+        parts = [WORD.findall(x.text) for x in cut[i]]
+        assert sum(map(len, parts)) == sum(r.taken for r in own)
+        words = collections.Counter(WORD.findall(text_of[i]))
+        assert all(not collections.Counter(p) - words for p in parts)
     assert mixing.mix(empty).count() == 0
 
 
@@ -311,8 +384,19 @@ def test_targets_stop_at_their_limit():
     for k in n:
         at = mixing.permute(np.arange(k), np.full(k, k), np.full(k, 77))
         assert sorted(at.tolist()) == list(range(k))
-    counts = mixing.draw_counts([5, 0, 700, 33], 8, 1)
-    assert counts.sum(axis=0).tolist() == [5, 0, 700, 33] and (counts >= 0).all()
+    for quotas in ([5, 0, 700, 33], [3 * 10**9, 7, 10**11 + 1], [0, 0], [1]):
+        counts = mixing.draw_counts(quotas, 8, 1)
+        assert counts.sum(axis=0).tolist() == quotas and (counts >= 0).all()
+    assert mixing.apportion(2, [0, 3, 3]) == [0, 1, 1] and mixing.apportion(3, [0, 3, 3]) == [0, 2, 1]
+    assert sum(mixing.apportion(5, [0, 0, 10**9, 10**9])) == 5 and mixing.apportion(4, [1, 3]) == [1, 3] and mixing.apportion(0, [0]) == [0]
+
+
+def test_slots_of_a_large_mix_spread_over_tasks(spark, docs):
+    laid = mixing.layout(docs)
+    sources = mixing.plan(laid, block=1)
+    slots = mixing.draw_slots(laid, sources, shards=4)
+    counts = [len(p) for p in slots.select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.collect_list("p")).toPandas()["collect_list(p)"]]
+    assert sum(counts) == sources["quota"].sum() and len(counts) > 1
 
 
 # URL filter
@@ -333,6 +417,12 @@ def test_urls(spark):
     assert (got[204].path, got[204].rule) == ("", None) and (got[205].host, got[205].rule) == ("éÉ.com", "com/fr/")
     rates = {r.host: r for r in url_filter.reputation(frame.select("page_id", F.lit("h").alias("host")), marks).collect()}
     assert rates["h"].bound < rates["h"].rate < 1
+    clash = frame.withColumns({c: F.lit("extra") for c in ("host", "path", "rule", "n", "k", "rate", "bound", "domain")})
+    again = url_filter.judge(clash, marks.withColumns({c: F.lit("extra") for c in ("bad", "page_id", "host")}), rules).collect()
+    assert {r.page_id: tuple(r) for r in again} == {i: tuple(r) for i, r in got.items()}
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("b.com",), ("com",), ("",)], "host string")
+    parts = {r[0]: (r[1], r[2]) for r in hosts.select("host", *url_filter.domain_and_suffix(F.col("host"))).collect()}
+    assert parts == {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "b.com": ("b.com", "com"), "com": ("com", "com"), "": ("", "")}
     none = url_filter.judge(frame, marks.limit(0), rules)
     assert {r.verdict for r in none.collect() if r.rule is None} == {"allow"}
     assert url_filter.judge(frame.limit(0), marks, rules).count() == 0
@@ -341,6 +431,43 @@ def test_urls(spark):
 # language ID
 
 
+def test_every_part_of_a_text_is_learned_from(spark):
+    rng = random.Random(8)
+    tails = ["tail" + chr(97 + k // 26) + chr(97 + k % 26) for k in range(40)]
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(1500)) + " " + " ".join(tails)
+    rows = [(i, long if i == 3 else f"kurz {i}", "de") for i in range(6)] + [(9, "same text", "en")] * 300
+    content = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert sum(f" {t} ".encode() in content["de"] for t in tails) >= 39  # a piece may end within a word
+    assert content["en"] == b" same text "  # a repeated row counts once
+
+
+def test_close_languages_are_rejected_and_ties_go_to_the_first(spark):
+    rng = random.Random(3)
+    texts = [(i, " ".join(rng.choice("alpha beta gamma delta".split()) for _ in range(50))) for i in range(20)]
+    same = " alpha beta gamma delta epsilon".encode() * 40
+    df = spark.createDataFrame(texts + texts[:3], "doc_id long, text string").withColumns({"lang_pred": F.lit(1), "score": F.lit("x"), "lang": F.lit(None)})
+    got = language_id.identify(df, {"zz": same, "aa": same, "mm": " etwas ganz anderes".encode() * 40}).collect()
+    assert len(got) == 23 and {(r.lang_pred, r.margin, r.rejected) for r in got} == {("aa", 0.0, True)}
+    clear = language_id.identify(df, {"aa": same, "mm": " etwas ganz anderes".encode() * 40}).collect()
+    assert {(r.lang_pred, r.rejected) for r in clear} == {("aa", False)} and all(r.margin > 0.01 for r in clear)
+
+
+@pytest.mark.parametrize("n", [1, 3, 4095, 4096, 4097, 10_000])
+def test_a_ring_holds_every_byte(n):
+    body = bytes(i % 251 for i in range(n))
+    blocks = language_id.ring(body)
+    assert all(len(x) == language_id.RING for x in blocks) and b"".join(blocks)[:n] == body and len(blocks) == -(-n // language_id.RING)
+
+
+def test_long_words_of_repeating_structure_differ():
+    for n in (64, 1024, 2048, 4096):  # Thue-Morse strings, which a sum of powers modulo 2**64 confuses
+        a = "".join("ab"[i.bit_count() % 2] for i in range(n))
+        pair = [a, a.translate(str.maketrans("ab", "ba")), a.upper()]
+        exact, _ = word_hashes(*text_buffers(pa.array(pair)))
+        lower, _ = word_hashes(*text_buffers(pa.array(pair)), lower=True)
+        assert len(set(exact.tolist())) == 3 and lower[0] == lower[2] != lower[1]
+
+
 def test_languages(spark, empty):
     rng = random.Random(8)
     words = {"en": "the of and ing tion that with house water".split(), "fr": "le la des été où eau très maison".split(), "de": "der die und nicht straße über haus".split()}

@@ -3,7 +3,6 @@
 import duckdb
 import pytest
 
-import corpus_pipeline
 from gridloom.llm import queries
 
 SF = "/root/testdata/sf0.001"
@@ -19,21 +18,3 @@ def test_query_equals_sql(spark, name):
     want = con.sql(queries.oracle_sql()[name])
     at = [want.columns.index(n) for n in names]
     assert sorted(tuple(str(r[n]) for n in names) for r in df.collect()) == sorted(tuple(str(r[i]) for i in at) for r in want.fetchall())
-
-
-@pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(queries.oracle_sql())))
-def test_one_row_a_document(spark, name):
-    got = queries.queries()[name](spark, SF).select("doc_id").collect()
-    assert sorted(r[0] for r in got) == sorted(r[0] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect())
-
-
-def test_pipeline(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    left = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, left, SF)
-        assert after.columns == list(corpus_pipeline.COLUMNS)
-        left = corpus_pipeline.written(after, name)
-        assert 0 < left.select("doc_id").distinct().count() <= docs.count()
-    got = corpus_pipeline.run(spark, SF)
-    assert got.count() == left.count() and got.where("n_tokens = 0").count() == 0
