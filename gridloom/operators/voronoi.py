@@ -6,7 +6,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gridloom.functions.geometry import squared_distance
 
@@ -30,40 +29,47 @@ def _by_comparison(seeds: DataFrame, pixels: DataFrame, ids: int) -> DataFrame:
     return best.select("px", "py", (ids - 1 - F.col("best") % ids).cast(kind).alias("seed_id"), F.expr(f"best div {ids}").alias("dist2"))
 
 
-def _by_transform(seeds: DataFrame, pixels: DataFrame) -> DataFrame:
+def _by_transform(seeds: DataFrame, left: int, top: int, width: int, height: int) -> DataFrame:
     """Two exact passes: the nearest seed of each pixel's column, then the best of the columns within reach.
 
-    The work grows with the pixels times the distance to their seed, not with the number of seeds. A task of the second
-    pass holds one row of pixels.
+    The first pass starts from the seeds, so columns without one send nothing; the second holds one row of pixels a group.
+    The work grows with the pixels times the distance to their seed, not with the number of seeds.
     """
-    own = seeds.select(F.col("x").alias("px"), F.col("y").alias("py"), F.struct("y", "seed_id").alias("own"))
-    col = Window.partitionBy("px").orderBy("py")
-    up = F.last("own", ignorenulls=True).over(col.rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first("own", ignorenulls=True).over(col.rowsBetween(0, Window.unboundedFollowing))
-    gap = lambda c: F.when(F.col(c).isNotNull(), F.struct(((F.col("py") - F.col(f"{c}.y")).cast("long") * (F.col("py") - F.col(f"{c}.y"))).alias("d"), (-F.col(f"{c}.seed_id")).alias("s")))
-    near = pixels.join(own, ["px", "py"], "left").select("px", "py", up.alias("up"), down.alias("down"))
-    near = near.select("px", "py", F.least(gap("up"), gap("down")).alias("near"))
-    flat = near.select("px", "py", F.col("near.d").alias("d"), (-F.col("near.s")).cast("long").alias("seed_id"))
-    kind = seeds.schema["seed_id"].dataType
-    out = flat.groupBy("py").applyInArrow(_row_pass, "px int, py int, seed_id long, dist2 long")
-    return out.select("px", "py", F.col("seed_id").cast(kind).alias("seed_id"), "dist2")
+    far = np.iinfo(np.int64).max
 
+    def column(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("y")
+        ys, ids = rows.column("y").to_numpy().astype(np.int64), rows.column("seed_id").to_numpy()
+        y = np.arange(top, top + height)
+        after = np.searchsorted(ys, y, side="right")
+        best, who = np.full(height, far), np.full(height, -1)
+        for at in (after - 1, after):
+            there = (at >= 0) & (at < len(ys))
+            d = np.where(there, (ys[at.clip(0, len(ys) - 1)] - y) ** 2, far)
+            own = ids[at.clip(0, len(ys) - 1)]
+            gain = there & ((d < best) | ((d == best) & (own > who)))
+            best, who = np.where(gain, d, best), np.where(gain, own, who)
+        return pa.table({"px": np.full(height, rows.column("x")[0].as_py(), np.int32), "py": y.astype(np.int32), "seed_id": who, "d": best})
+
+    def row(rows: pa.Table) -> pa.Table:
+        d, ids = np.full(width, far), np.full(width, -1)
+        at = rows.column("px").to_numpy() - left
+        d[at], ids[at] = rows.column("d").to_numpy(), rows.column("seed_id").to_numpy()
+        best, who, k = d.copy(), ids.copy(), 1
+        while k < width and k * k <= best.max():  # columns further and further away, while any pixel can gain
+            for here, there in ((slice(k, None), slice(None, -k)), (slice(None, -k), slice(k, None))):
+                reach = np.where(d[there] == far, far, d[there] + k * k)
+                gain = (reach < best[here]) | ((reach == best[here]) & (ids[there] > who[here]))
+                best[here], who[here] = np.where(gain, reach, best[here]), np.where(gain, ids[there], who[here])
+            k += 1
+        px = np.arange(left, left + width, dtype=np.int32)
+        return pa.table({"px": px, "py": np.full(width, rows.column("py")[0].as_py(), np.int32), "seed_id": who, "dist2": best})
 
-def _row_pass(rows: pa.Table) -> pa.Table:
-    """The best column candidate for each pixel of one row: columns are compared further and further away while any pixel can gain."""
-    rows = rows.sort_by("px")
-    far = np.iinfo(np.int64).max
-    d = rows.column("d").fill_null(far).to_numpy()
-    ids = rows.column("seed_id").fill_null(-1).to_numpy()
-    best, who, k = d.copy(), ids.copy(), 1
-    while k < len(d) and k * k <= best.max():
-        for here, there in ((slice(k, None), slice(None, -k)), (slice(None, -k), slice(k, None))):
-            reach = np.where(d[there] == far, far, d[there] + k * k)
-            gain = (reach < best[here]) | ((reach == best[here]) & (ids[there] > who[here]))
-            best[here], who[here] = np.where(gain, reach, best[here]), np.where(gain, ids[there], who[here])
-        k += 1
-    out = pa.table({"px": rows.column("px"), "py": rows.column("py"), "seed_id": who, "dist2": best})
-    return out.filter(pa.array(best < far))
+    kind = seeds.schema["seed_id"].dataType
+    own = seeds.select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.col("seed_id").cast("long").alias("seed_id"))
+    near = own.groupBy("x").applyInArrow(column, "px int, py int, seed_id long, d long")
+    out = near.groupBy("py").applyInArrow(row, "px int, py int, seed_id long, dist2 long")
+    return out.select("px", "py", F.col("seed_id").cast(kind).alias("seed_id"), "dist2")
 
 
 def voronoi(seeds: DataFrame, width: int, height: int, padding: int = 0, strategy: str = "auto", n_seeds: int | None = None) -> DataFrame:
@@ -73,7 +79,6 @@ def voronoi(seeds: DataFrame, width: int, height: int, padding: int = 0, strateg
     their number. ``auto`` counts them and compares while they are fewer than a canvas row has pixels. More than
     ``MAX_BROADCAST_SEEDS`` seeds are never compared.
     """
-    pixels = canvas(seeds.sparkSession, width, height, padding)
     ids = width * height + 1  # ranks and order keys are below
     packs = ids * ((width + 2 * padding) ** 2 + (height + 2 * padding) ** 2) < 1 << 62
     if strategy == "auto":
@@ -87,7 +92,9 @@ def voronoi(seeds: DataFrame, width: int, height: int, padding: int = 0, strateg
         raise ValueError(f"unknown strategy {strategy!r}")
     if strategy == "compare" and not packs:
         raise ValueError("the canvas is too large to compare; use transform")
-    return _by_comparison(seeds, pixels, ids) if strategy == "compare" else _by_transform(seeds, pixels)
+    if strategy == "compare":
+        return _by_comparison(seeds, canvas(seeds.sparkSession, width, height, padding), ids)
+    return _by_transform(seeds, -padding, -padding, width + 2 * padding, height + 2 * padding)
 
 
 def nearest_of_both(old: DataFrame, new: DataFrame) -> DataFrame:
