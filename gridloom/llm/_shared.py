@@ -35,10 +35,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridloom-{name}-{uuid.uuid4().hex}"
+    _PATHS.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders that ``written`` has filled and ``clear`` has not removed, oldest first.
+_PATHS: list[str] = []
+
+
+def clear(spark: SparkSession, keep: int = 0, since: int = 0) -> None:
+    """Remove the written tables from number ``since`` on, but for the last ``keep``; frames that read them cannot be used any more.
+
+    The numbers count all tables of this driver, so two runs that clear up must not go on at the same time in one.
+    """
+    gone = _PATHS[since : len(_PATHS) - keep]
+    for path in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _PATHS.remove(path)
+
+
+def tables_written() -> int:
+    """How many written tables there are: a mark for ``clear``."""
+    return len(_PATHS)
+
+
 def keyed(df: DataFrame, key: str, name: str) -> DataFrame:
     """``df`` as a written table with a unique number in the column ``key``, the same at every later read."""
     return written(df.withColumn(key, F.monotonically_increasing_id()), name)

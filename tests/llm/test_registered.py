@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridloom.llm import byte_bpe, language_id, lm_scoring, mixing, near_dedup, quality_classifier, queries
+from gridloom.llm import _shared, byte_bpe, language_id, lm_scoring, mixing, near_dedup, quality_classifier, queries
 from gridloom.llm._hashing import text_buffers, word_hashes
 
 SF = "/root/testdata/sf0.001"
@@ -334,7 +334,12 @@ def test_pipeline(spark, rows):
     mixed = docs.collect()
     assert collections.Counter((r.doc_id, tuple(WORD.findall(r.text))) for r in mixed) == want
     assert all(r.n_chars == len(r.text) for r in mixed)
-    got = collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, SF).collect())
+    before = _shared.tables_written()
+    result = corpus_pipeline.run(spark, SF)
+    assert _shared.tables_written() == before + 1  # the last stage's input
+    got = collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in result.collect())
+    _shared.clear(spark, since=before)
+    assert _shared.tables_written() == before
     assert got == collections.Counter((r.doc_id, *digests(own, r.text)) for r in mixed)
 
 
