@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import byte_bpe, exact_dedup, mixing, near_dedup, quality_rules
-from gridloom.llm._shared import few, keyed, written
+from gridloom.llm._shared import clear, few, keyed, tables_written, written
 from gridloom.llm.queries import bpe_vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -56,7 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. Of the tables written on the way only the last stage's input stays, which it reads."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mark = tables_written()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        clear(spark, keep=1, since=mark)
     return STAGES[-1][1](spark, docs, sf_dir)
