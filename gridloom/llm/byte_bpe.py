@@ -5,7 +5,8 @@ Second tier: the others are merged from single bytes, kept as a linked list, wit
 stale heap entries are skipped. A bounded memo in front of both keeps what frequent pre-tokens encode to.
 
 A worker loads the rank file once, from the path it is given; nothing is copied or trained. Memory is
-bounded: vocabulary, two memos (``MEMO`` pieces of up to ``MEMO_CHARS`` characters each) and one Arrow batch.
+bounded: vocabulary, two memos of two generations (up to ``MEMO`` words or ``MEMO // 2`` pieces in each, of up to
+``MEMO_CHARS`` characters) and one Arrow batch.
 
 Defined edge cases: a null or empty text has no ids and decodes to no bytes; ids that are not in the
 vocabulary raise ``KeyError``; white space, control characters and unassigned code points are ordinary text.
@@ -95,16 +96,24 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class _Memo(dict):
-    """Remembers what a piece of text encodes to: ``limit`` pieces of up to MEMO_CHARS characters, then it starts afresh."""
+    """Remembers what a piece of text encodes to, in two generations of up to ``limit`` pieces of MEMO_CHARS characters.
+
+    A full generation becomes the older one, whose pieces come back when they are met again; those that are not
+    met before the next is full are forgotten.
+    """
 
     def __init__(self, encode, limit: int):
         super().__init__()
         self.encode, self.limit = encode, limit
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        got = self.encode(piece)
+        got = self.older.get(piece)
+        if got is None:
+            got = self.encode(piece)
         if len(piece) <= MEMO_CHARS and "\n" not in piece:  # two words across a line end hardly come again
             if len(self) >= self.limit:
+                self.older = dict(self)
                 self.clear()
             self[piece] = got
         return got
@@ -122,8 +131,8 @@ class ByteBPE:
         self.text_of = {v: str(v) for v in ranks.values()}
         self.single = [ranks[bytes([i])] for i in range(256)]
         self.split = regex.compile(pattern).findall
-        self.memo = _Memo(lambda piece: self.encode_piece(piece.encode()), memo)
-        self.words = _Memo(lambda word: self._matches(" " + word), memo)  # what follows a lone space
+        self.memo = _Memo(lambda piece: self.encode_piece(piece.encode()), memo // 2)
+        self.words = _Memo(self._word, memo)  # what follows a lone space
         self.lone_spaces = lone_spaces
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
@@ -175,6 +184,12 @@ class ByteBPE:
         parts = text.split(" ")  # every cut is before a lone space
         return [*self._matches(parts[0]), *chain.from_iterable(map(self.words.__getitem__, parts[1:]))]
 
+    def _word(self, word: str) -> tuple[int, ...]:
+        found = self.split(" " + word)
+        if len(found) == 1:  # remembered as a word, so not as a piece too
+            return self.encode_piece(found[0].encode())
+        return tuple(chain.from_iterable(map(self.memo.__getitem__, found)))
+
     def _matches(self, text: str) -> tuple[int, ...]:
         return tuple(chain.from_iterable(map(self.memo.__getitem__, self.split(text))))
 

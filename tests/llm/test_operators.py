@@ -339,6 +339,21 @@ def test_bpe_against_tiktoken(docs, rows):
         assert bpe.encode(text) == other.encode_ordinary(text)
 
 
+def test_small_memos_change_no_ids_and_stay_bounded():
+    path, pattern = bpe_vocabulary()
+    ranks = byte_bpe.load_ranks(path)
+    plain, small = byte_bpe.ByteBPE(ranks, pattern), byte_bpe.ByteBPE(ranks, pattern, memo=4)
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abté,'") for _ in range(rng.randrange(1, 9))) for _ in range(60)] + ["x" * 100]
+    for _ in range(400):
+        text = " ".join(rng.choice(words) for _ in range(20))
+        assert small.encode(text) == plain.encode(text)
+        assert small.decode(small.encode(text)) == text.encode()
+        for memo, limit in ((small.words, 4), (small.memo, 2)):
+            assert len(memo) <= limit and len(memo.older) <= limit
+            assert all(len(piece) <= byte_bpe.MEMO_CHARS for piece in (*memo, *memo.older))
+
+
 def test_minimal_perfect_hash():
     keys = [str(i).encode() for i in range(5000)]
     h = byte_bpe.MinimalPerfectHash(keys, range(5000))
