@@ -75,10 +75,17 @@ def fan_out(spark: SparkSession, n: int, per_task: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // per_task + 1)
 
 
-#: Rows of one or two long columns that may be broadcast: some 16 MB.
+#: Rows that may be broadcast: 16 MB of them for one or two long columns, some 60 MB with a digest.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of texts in these rows that may be broadcast.
+BROADCAST_BYTES = 64_000_000
 
 
-def few(df: DataFrame) -> DataFrame:
-    """Marked for broadcasting if it has been counted and is below the bound; else Spark's own choice of join."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def few(df: DataFrame, *texts: str) -> DataFrame:
+    """Marked for broadcasting if it has been counted and is below the bounds; else Spark's own choice of join.
+
+    ``texts`` names the columns without a fixed width, whose bytes are counted too.
+    """
+    size = F.coalesce(F.sum(sum((F.coalesce(F.octet_length(x), F.lit(0)) for x in texts), F.lit(0))), F.lit(0))
+    rows, held = df.agg(F.count(F.lit(1)), size).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and held <= BROADCAST_BYTES else df

@@ -117,7 +117,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Iterable[UrlRule], limit:
     """One row a page: page_id, host, path, rule, verdict, rate, bound."""
     host, path = split_url(F.col("url"))
     seen = pages.select("page_id", host.alias("host"), path.alias("path"))
-    known = few(written(reputation(seen.select("page_id", "host"), labels, z, long_suffixes).select("host", "rate", "bound"), "reputation"))
+    known = few(written(reputation(seen.select("page_id", "host"), labels, z, long_suffixes).select("host", "rate", "bound"), "reputation"), "host")
     name, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bound") > limit, F.lit("block")).otherwise("allow")
     return seen.join(known, "host", "left").select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "rate", "bound")

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import byte_bpe, exact_dedup, language_id, lm_scoring, mixing, near_dedup, quality_classifier, quality_rules, sharding, url_filter
+from gridloom.llm import _shared, byte_bpe, exact_dedup, language_id, lm_scoring, mixing, near_dedup, quality_classifier, quality_rules, sharding, url_filter
 from gridloom.llm._hashing import text_buffers, word_hashes
 from gridloom.llm._shared import keyed
 from gridloom.llm.queries import bpe_vocabulary
@@ -417,6 +417,15 @@ def test_slots_of_a_large_mix_spread_over_tasks(spark, docs):
 # URL filter
 
 
+def test_long_hosts_are_not_broadcast(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "é" * 50 if i else None) for i in range(20)], "i long, host string")
+    hinted = lambda df: "strategy=broadcast" in rows.join(df, "i")._jdf.queryExecution().toString()
+    monkeypatch.setattr(_shared, "BROADCAST_BYTES", 1900)
+    assert hinted(_shared.few(rows, "host"))
+    monkeypatch.setattr(_shared, "BROADCAST_BYTES", 1899)
+    assert not hinted(_shared.few(rows, "host")) and hinted(_shared.few(rows)) and hinted(_shared.few(rows.limit(0), "host"))
+
+
 def test_urls(spark):
     pages = [(i, f"https://Spam.Bad.com/p{i}?q=/x#y") for i in range(40)] + [(100 + i, f"http://good.org/p{i}") for i in range(40)]
     pages += [(200, None), (201, "no scheme"), (202, "x://"), (203, "HTTP://A.example.ORG/es/1"), (204, "a://b.com#/fr/"), (205, "a://éÉ.com/fr/?")]
