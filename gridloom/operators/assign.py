@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.geometry import cross, in_triangle, inside_circumsphere
 from gridloom.operators.topology import with_corners
+from gridloom.operators.voronoi import spread
 
 NO_TRIANGLE = -1
 TILE = 16
+#: Rows of triangles, and pixels, that are laid out at a time; one triangle's rows and one row's pixels are never split.
+FILL = 1 << 20
+CORNERS = ("ax", "ay", "bx", "by", "cx", "cy")
 
 
 def tiled(triangles: DataFrame, tile: int = TILE) -> DataFrame:
@@ -29,10 +37,51 @@ def containing(points: DataFrame, triangles: DataFrame, seeds: DataFrame, keys:
     return held.groupBy(*keys).agg(F.max("triangle_id").alias("triangle_id"))
 
 
-def assign(raster: DataFrame, triangles: DataFrame, seeds: DataFrame, tile: int = TILE) -> DataFrame:
-    """(px, py, seed_id, dist2, triangle_id): -1 where no triangle holds the pixel."""
-    held = containing(raster.select("px", "py"), triangles, seeds, ("px", "py"), tile=tile)
-    return raster.join(held, ["px", "py"], "left").withColumn("triangle_id", F.coalesce("triangle_id", F.lit(NO_TRIANGLE)))
+def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (triangle_id, ax, ay, bx, by, cx, cy) to their pixels, exact in whole numbers.
+
+    Each edge bounds the pixels of a row from one side, so a row of a triangle is a range of pixels.
+    """
+    for batch in batches:
+        tid, ax, ay, bx, by, cx, cy = (c.to_numpy().astype(np.int64) for c in batch.columns)
+        turned = (bx - ax) * (cy - ay) < (by - ay) * (cx - ax)
+        bx, cx = np.where(turned, cx, bx), np.where(turned, bx, cx)
+        by, cy = np.where(turned, cy, by), np.where(turned, by, cy)
+        top = np.minimum(np.minimum(ay, by), cy)
+        n = np.maximum(np.maximum(ay, by), cy) - top + 1
+        for some in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) // FILL)) + 1):
+            of = np.repeat(some, n[some])
+            y = top[of] + np.arange(len(of)) - np.repeat(np.cumsum(n[some]) - n[some], n[some])
+            low, high = np.full(len(of), -(1 << 40)), np.full(len(of), 1 << 40)
+            for ix, iy, jx, jy in ((ax, ay, bx, by), (bx, by, cx, cy), (cx, cy, ax, ay)):
+                # on the inner side of the edge from i to j: rise * px <= run * (py - iy) + rise * ix
+                rise = (jy - iy)[of]
+                bound = (jx - ix)[of] * (y - iy[of]) + rise * ix[of]
+                steep = np.abs(rise) + (rise == 0)
+                high = np.where(rise > 0, np.minimum(high, bound // steep), high)
+                low = np.where(rise < 0, np.maximum(low, -(bound // steep)), low)
+            wide = np.maximum(high - low + 1, 0)
+            for part in np.split(np.arange(len(of)), np.flatnonzero(np.diff(np.cumsum(wide) // FILL)) + 1):
+                at = np.repeat(part, wide[part])
+                x = low[at] + np.arange(len(at)) - np.repeat(np.cumsum(wide[part]) - wide[part], wide[part])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()), pa.array(y[at], pa.int32()), pa.array(tid[of[at]], pa.int32())], ["px", "py", "triangle_id"])
+
+
+def covered(triangles: DataFrame) -> DataFrame:
+    """(px, py, triangle_id) for every pixel of every triangle with corners, borders included; flat ones have none.
+
+    The work grows with the triangles' areas and heights, and nothing is joined.
+    """
+    corners = triangles.where(cross(*(F.col(n) for n in CORNERS)) != 0).select("triangle_id", *CORNERS)
+    return spread(corners, "triangle_id").mapInArrow(_fill, "px int, py int, triangle_id int")
+
+
+def assign(raster: DataFrame, triangles: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(px, py, seed_id, dist2, triangle_id): -1 where no triangle holds the pixel. Pixels and triangles meet in one aggregation."""
+    held = covered(with_corners(triangles, seeds))
+    both = raster.select("px", "py", "seed_id", "dist2").unionByName(held, allowMissingColumns=True)
+    one = both.groupBy("px", "py").agg(*(F.max(n).alias(n) for n in ("seed_id", "dist2", "triangle_id"))).where("seed_id IS NOT NULL")
+    return one.withColumn("triangle_id", F.coalesce("triangle_id", F.lit(NO_TRIANGLE)))
 
 
 def locate(points: DataFrame, triangles: DataFrame, seeds: DataFrame, tile: int = TILE) -> DataFrame:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gridloom.functions.geometry import squared_distance
 from gridloom.operators.ranking import with_rank
+from gridloom.operators.voronoi import spread
 
 #: Seeds whose triangles are numbered by one task.
 RANK_BUCKET = 4096
+#: Side of the tiles whose blocks are scanned together.
+SCAN_TILE = 256
 
 
 def raw_bound(width: int, height: int) -> int:
@@ -19,14 +23,36 @@ def raw_bound(width: int, height: int) -> int:
 
 
 def blocks(raster: DataFrame) -> DataFrame:
-    """(px, py, ids) for 2 x 2 blocks with three or four different seeds; ids in the order tl, tr, bl, br."""
-    right = F.lead("seed_id").over(Window.partitionBy("py").orderBy("px"))
-    row = raster.select("px", "py", F.struct(F.col("seed_id").alias("l"), right.alias("r")).alias("pair"))
-    below = F.lead("pair").over(Window.partitionBy("px").orderBy("py"))
-    both = row.select("px", "py", "pair", below.alias("next"))
-    ids = F.array_distinct(F.array("pair.l", "pair.r", "next.l", "next.r"))
-    whole = F.col("pair.r").isNotNull() & F.col("pair.l").isNotNull() & F.col("next.l").isNotNull() & F.col("next.r").isNotNull()
-    return both.where(whole).select("px", "py", ids.alias("ids")).where(F.size("ids") >= 3)
+    """(px, py, ids) for 2 x 2 blocks with three or four different seeds; ids in the order tl, tr, bl, br.
+
+    Pixels are grouped by tile, with the first column and row of the next tiles, and a tile is scanned as a whole; a
+    block with a missing pixel is none.
+    """
+    kind = raster.schema["seed_id"].dataType.simpleString()
+
+    def scan(rows: pa.Table) -> pa.Table:
+        px, py, ids = (rows.column(n).to_numpy() for n in ("px", "py", "seed_id"))
+        x0, y0 = px.min(), py.min()
+        seen = np.full((py.max() - y0 + 1, px.max() - x0 + 1), -1, np.int64)
+        seen[py - y0, px - x0] = ids
+        four = np.stack([seen[:-1, :-1], seen[:-1, 1:], seen[1:, :-1], seen[1:, 1:]], axis=-1)
+        new = np.ones(four.shape, bool)  # not met before in its block
+        for i in range(1, 4):
+            new[..., i] = (four[..., i : i + 1] != four[..., :i]).all(axis=-1)
+        at = np.nonzero((new.sum(axis=-1) >= 3) & (four >= 0).all(axis=-1))
+        four, new = four[at], new[at]
+        ends = np.concatenate([[0], np.cumsum(new.sum(axis=-1))]).astype(np.int32)
+        return pa.table({"px": (at[1] + x0).astype(np.int32), "py": (at[0] + y0).astype(np.int32), "ids": pa.ListArray.from_arrays(ends, four[new])})
+
+    tile = lambda v: F.floor(F.col(v) / SCAN_TILE)
+    name = lambda x, y: y * (1 << 32) + x
+    x, y = tile("px"), tile("py")
+    edge = (F.pmod("px", F.lit(SCAN_TILE)) == 0) | (F.pmod("py", F.lit(SCAN_TILE)) == 0)
+    before = lambda v: F.floor((F.col(v) - 1) / SCAN_TILE)
+    every = F.array_distinct(F.array(name(x, y), name(before("px"), y), name(x, before("py")), name(before("px"), before("py"))))
+    dealt = raster.select(F.explode(F.when(edge, every).otherwise(F.array(name(x, y)))).alias("tile"), "px", "py", F.col("seed_id").cast("long").alias("seed_id"))
+    found = spread(dealt, "tile").groupBy("tile").applyInArrow(scan, "px int, py int, ids array<bigint>")
+    return found.select("px", "py", F.col("ids").cast(f"array<{kind}>").alias("ids"))
 
 
 def cut_quads(quads: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -80,9 +106,12 @@ def first_witness(found: DataFrame) -> DataFrame:
     return one.select((F.col("at") - F.shiftleft(y, 32) - (1 << 31)).cast("int").alias("x"), y.cast("int").alias("y"), "a", "b", "c")
 
 
-def triangles(raster: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(triangle_id, x, y, a, b, c): distinct triples, ranked; (x, y) is the witness with least (y, x)."""
-    one = first_witness(witnesses(raster, seeds))
+def triangles(found: DataFrame) -> DataFrame:
+    """(triangle_id, x, y, a, b, c): distinct triples of ``witnesses``, ranked; (x, y) is the one with least (y, x).
+
+    The witnesses are read twice, to count and to number, so they should be persisted.
+    """
+    one = first_witness(found)
     ranked = with_rank(one, (F.col("a") / RANK_BUCKET).cast("int"), ("a", "b", "c"), "triangle_id")
     return ranked.select("triangle_id", "x", "y", "a", "b", "c")
 

@@ -11,6 +11,8 @@ from gridloom.functions.geometry import squared_distance
 
 #: More seeds than this are never broadcast.
 MAX_BROADCAST_SEEDS = 20_000
+#: Columns of a strip and rows of a band in the transform, and the pixels that neither exceeds.
+GROUP_SIDE, GROUP_CELLS = 64, 1 << 20
 
 
 def canvas(spark: SparkSession, width: int, height: int, padding: int = 0) -> DataFrame:
@@ -20,6 +22,11 @@ def canvas(spark: SparkSession, width: int, height: int, padding: int = 0) -> Da
     return spark.range(w * h).select((i % w - padding).cast("int").alias("px"), (F.expr(f"id div {w}") - padding).cast("int").alias("py"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Partitioned by ``key`` in the session's number of partitions, which are not merged: groups are small but costly."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _by_comparison(seeds: DataFrame, pixels: DataFrame, ids: int) -> DataFrame:
     """Distance and id share one BIGINT, so the minimum combines in a hash aggregation and nothing is sorted."""
     d = squared_distance(F.col("px"), F.col("py"), F.col("x"), F.col("y"))
@@ -32,43 +39,54 @@ def _by_comparison(seeds: DataFrame, pixels: DataFrame, ids: int) -> DataFrame:
 def _by_transform(seeds: DataFrame, left: int, top: int, width: int, height: int) -> DataFrame:
     """Two exact passes: the nearest seed of each pixel's column, then the best of the columns within reach.
 
-    The first pass starts from the seeds, so columns without one send nothing; the second holds one row of pixels a group.
-    The work grows with the pixels times the distance to their seed, not with the number of seeds.
+    The first pass takes strips of columns and starts from their seeds, so columns without one send nothing; the second
+    holds a band of rows. What goes from one to the other is a packed piece for each strip and band, so nothing is
+    shuffled by pixel. The work grows with the pixels times the distance to their seed, not with the number of seeds.
     """
-    far = np.iinfo(np.int64).max
+    far = 1 << 62
+    wide, tall = (max(1, min(GROUP_SIDE, GROUP_CELLS // n)) for n in (height, width))
 
-    def column(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("y")
+    def strip(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("x", "ascending"), ("y", "ascending")])
         ys, ids = rows.column("y").to_numpy().astype(np.int64), rows.column("seed_id").to_numpy()
+        columns, starts = np.unique(rows.column("x").to_numpy(), return_index=True)
         y = np.arange(top, top + height)
-        after = np.searchsorted(ys, y, side="right")
-        best, who = np.full(height, far), np.full(height, -1)
-        for at in (after - 1, after):
-            there = (at >= 0) & (at < len(ys))
-            d = np.where(there, (ys[at.clip(0, len(ys) - 1)] - y) ** 2, far)
-            own = ids[at.clip(0, len(ys) - 1)]
-            gain = there & ((d < best) | ((d == best) & (own > who)))
-            best, who = np.where(gain, d, best), np.where(gain, own, who)
-        return pa.table({"px": np.full(height, rows.column("x")[0].as_py(), np.int32), "py": y.astype(np.int32), "seed_id": who, "d": best})
-
-    def row(rows: pa.Table) -> pa.Table:
-        d, ids = np.full(width, far), np.full(width, -1)
-        at = rows.column("px").to_numpy() - left
-        d[at], ids[at] = rows.column("d").to_numpy(), rows.column("seed_id").to_numpy()
+        best, who = np.full((height, len(columns)), far), np.full((height, len(columns)), -1)
+        for j, (lo, hi) in enumerate(zip(starts, [*starts[1:], len(ys)], strict=True)):
+            after = np.searchsorted(ys[lo:hi], y, side="right") + lo
+            for at in (after - 1, after):
+                there = (at >= lo) & (at < hi)
+                d = np.where(there, (ys[at.clip(lo, hi - 1)] - y) ** 2, far)
+                own = ids[at.clip(lo, hi - 1)]
+                gain = there & ((d < best[:, j]) | ((d == best[:, j]) & (own > who[:, j])))
+                best[gain, j], who[gain, j] = d[gain], own[gain]
+        px = columns.astype("<i4").tobytes()
+        cuts = range(0, height, tall)
+        d, own = ([x[c : c + tall].tobytes() for c in cuts] for x in (best, who))
+        return pa.table({"band": pa.array(range(len(cuts)), pa.int32()), "px": pa.array([px] * len(cuts), pa.binary()), "d": pa.array(d, pa.binary()), "own": pa.array(own, pa.binary())})
+
+    def band(rows: pa.Table) -> pa.Table:
+        first = rows.column("band")[0].as_py() * tall
+        n = min(tall, height - first)
+        d, ids = np.full((n, width), far), np.full((n, width), -1)
+        for piece in rows.to_pylist():
+            at = np.frombuffer(piece["px"], "<i4") - left
+            d[:, at], ids[:, at] = (np.frombuffer(piece[k], np.int64).reshape(n, -1) for k in ("d", "own"))
         best, who, k = d.copy(), ids.copy(), 1
         while k < width and k * k <= best.max():  # columns further and further away, while any pixel can gain
-            for here, there in ((slice(k, None), slice(None, -k)), (slice(None, -k), slice(k, None))):
-                reach = np.where(d[there] == far, far, d[there] + k * k)
+            for here, there in ((np.s_[:, k:], np.s_[:, :-k]), (np.s_[:, :-k], np.s_[:, k:])):
+                reach = d[there] + k * k
                 gain = (reach < best[here]) | ((reach == best[here]) & (ids[there] > who[here]))
-                best[here], who[here] = np.where(gain, reach, best[here]), np.where(gain, ids[there], who[here])
+                best[here][gain], who[here][gain] = reach[gain], ids[there][gain]
             k += 1
-        px = np.arange(left, left + width, dtype=np.int32)
-        return pa.table({"px": px, "py": np.full(width, rows.column("py")[0].as_py(), np.int32), "seed_id": who, "dist2": best})
+        px = np.tile(np.arange(left, left + width, dtype=np.int32), n)
+        py = np.repeat(np.arange(top + first, top + first + n, dtype=np.int32), width)
+        return pa.table({"px": px, "py": py, "seed_id": who.ravel(), "dist2": best.ravel()})
 
     kind = seeds.schema["seed_id"].dataType
-    own = seeds.select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.col("seed_id").cast("long").alias("seed_id"))
-    near = own.groupBy("x").applyInArrow(column, "px int, py int, seed_id long, d long")
-    out = near.groupBy("py").applyInArrow(row, "px int, py int, seed_id long, dist2 long")
+    own = seeds.select(F.floor((F.col("x") - left) / wide).alias("strip"), F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.col("seed_id").cast("long").alias("seed_id"))
+    near = spread(own, "strip").groupBy("strip").applyInArrow(strip, "band int, px binary, d binary, own binary")
+    out = spread(near, "band").groupBy("band").applyInArrow(band, "px int, py int, seed_id long, dist2 long")
     return out.select("px", "py", F.col("seed_id").cast(kind).alias("seed_id"), "dist2")
 
 

@@ -28,6 +28,7 @@ class Triangulation:
     triangles: DataFrame
     grid: DataFrame
     timings: dict[str, float] = field(default_factory=dict)
+    held: list[DataFrame] = field(default_factory=list)
 
     def triangle_map(self) -> dict[int, tuple[int, int, int, int, int]]:
         return to_map(self.triangles)
@@ -39,18 +40,25 @@ class Triangulation:
         """(height, width, 3): seed_id, dist2, triangle_id."""
         return to_raster(self.grid, self.width, self.height, "seed_id", "dist2", "triangle_id")
 
+    def fetch(self, as_arrays: bool) -> tuple[dict | np.ndarray, np.ndarray]:
+        """Triangles and raster on the driver; what is persisted is released."""
+        out = (self.triangle_array() if as_arrays else self.triangle_map()), self.raster()
+        for df in self.held:
+            df.unpersist()
+        return out
 
-def plan(seeds: DataFrame, width: int, height: int, border_padding: int | None = None, strategy: str = "auto", tile: int = _assign.TILE) -> Triangulation:
+
+def plan(seeds: DataFrame, width: int, height: int, border_padding: int | None = None, strategy: str = "auto") -> Triangulation:
     """Results over ranked seeds (seed_id, x, y); nothing is validated. The diagram is computed once, if persisted."""
     padding = resolve_padding(border_padding)
     padded = voronoi.voronoi(seeds, width, height, padding, strategy)
     diagram = voronoi.crop(padded, width, height) if padding else padded
-    found = topology.triangles(padded, seeds)
-    return Triangulation(width, height, padding, seeds, padded, diagram, found, _assign.assign(diagram, found, seeds, tile))
+    found = topology.triangles(topology.witnesses(padded, seeds))
+    return Triangulation(width, height, padding, seeds, padded, diagram, found, _assign.assign(diagram, found, seeds))
 
 
 def triangulate_frame(spark: SparkSession, width: int, height: int, seeds, border_padding: int | None = None, strategy: str = "auto", timed: bool = False) -> Triangulation:
-    """Validate and rank the seeds, then plan; the diagram and the triangles are persisted, as both are used twice."""
+    """Validate and rank the seeds, then plan; seeds, diagram, witnesses and triangles are persisted, as each is used twice."""
     check_size(width, height)
     resolve_padding(border_padding)
     given = seeds_from(spark, seeds)
@@ -63,12 +71,15 @@ def triangulate_frame(spark: SparkSession, width: int, height: int, seeds, borde
         padded.count()
         out.timings["voronoi_ms"] = (time.perf_counter() - began) * 1e3
         began = time.perf_counter()
-        topology.witnesses(padded, ranked).write.format("noop").mode("overwrite").save()
+    found = topology.witnesses(padded, ranked).persist()
+    if timed:
+        found.count()
         out.timings["detect_ms"] = (time.perf_counter() - began) * 1e3
     out.padded = padded
     out.diagram = voronoi.crop(padded, width, height) if out.border_padding else padded
     began = time.perf_counter()
-    out.triangles = topology.triangles(padded, ranked).persist()
+    out.triangles = topology.triangles(found).persist()
+    out.held = [ranked, padded, found, out.triangles]
     if timed:
         out.triangles.count()
         out.timings["dedup_ms"] = (time.perf_counter() - began) * 1e3
@@ -84,7 +95,7 @@ def triangulate(width: int, height: int, seeds, border_padding: int | None = -1,
     """(triangles, grid) on the driver: a dict or an (N, 3) array, and a (height, width, 3) array."""
     spark = spark or SparkSession.getActiveSession()
     t = triangulate_frame(spark, width, height, seeds, border_padding)
-    return (t.triangle_array() if as_arrays else t.triangle_map()), t.raster()
+    return t.fetch(as_arrays)
 
 
 class Voronoi:
@@ -111,11 +122,11 @@ class GridTriangulation:
 
     def compute(self, grid: np.ndarray, seeds, border_padding: int | None = -1, as_arrays: bool = False):
         t = self._run(grid, seeds, border_padding)
-        return (t.triangle_array() if as_arrays else t.triangle_map()), t.raster()
+        return t.fetch(as_arrays)
 
     def compute_timed(self, grid: np.ndarray, seeds, border_padding: int | None = -1, as_arrays: bool = False):
         t = self._run(grid, seeds, border_padding, timed=True)
-        return (t.triangle_array() if as_arrays else t.triangle_map()), t.raster(), t.timings
+        return *t.fetch(as_arrays), t.timings
 
     def compute_debug(self, grid: np.ndarray, seeds, border_padding: int | None = -1, as_arrays: bool = False):
         """Also the padded diagram, (height + 2 P, width + 2 P, 2)."""
@@ -124,4 +135,5 @@ class GridTriangulation:
         t = self._run(grid, seeds, border_padding)
         p = t.border_padding
         moved = t.padded.withColumns({"px": F.col("px") + p, "py": F.col("py") + p})
-        return (t.triangle_array() if as_arrays else t.triangle_map()), t.raster(), to_raster(moved, t.width + 2 * p, t.height + 2 * p, "seed_id", "dist2")
+        raster = to_raster(moved, t.width + 2 * p, t.height + 2 * p, "seed_id", "dist2")
+        return *t.fetch(as_arrays), raster

@@ -49,7 +49,7 @@ class Scene:
         self.seeds = ranked(spark, sf_dir, name, side)
         self.padded = voronoi.voronoi(self.seeds, side, side, padding).persist()
         self.diagram = voronoi.crop(self.padded, side, side)
-        self.triangles = topology.triangles(self.padded, self.seeds).persist()
+        self.triangles = topology.triangles(topology.witnesses(self.padded, self.seeds).persist()).persist()
 
     def grid(self) -> DataFrame:
         return assign.assign(self.diagram, self.triangles, self.seeds)
@@ -164,7 +164,7 @@ def incremental_voronoi(spark, sf_dir):
 
 def incremental_triangles(spark, sf_dir):
     s, raster = _in_batches(spark, sf_dir)
-    return topology.triangles(raster.persist(), s)
+    return topology.triangles(topology.witnesses(raster.persist(), s).persist())
 
 
 def _mesh(spark, sf_dir) -> Delaunay:

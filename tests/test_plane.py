@@ -138,7 +138,7 @@ def test_field(spark):
     points = random_points(6, 25, 40, 32)
     values = np.random.default_rng(7).normal(size=25)
     ranked = seed_ops.rank_seeds(seeds_from(spark, points, values.tolist())).persist()
-    found = topology.triangles(voronoi.voronoi(ranked, 40, 32, 16), ranked).persist()
+    found = topology.triangles(topology.witnesses(voronoi.voronoi(ranked, 40, 32, 16), ranked)).persist()
     at = {r.seed_id: r for r in ranked.collect()}
     edge_rows = sorted(field.edges(found).collect())
     want = sorted({tuple(sorted(p)) for r in found.collect() for p in combinations((r.a, r.b, r.c), 2)})
