@@ -195,3 +195,50 @@ def test_rasters_and_sources(spark):
         seeds_from(spark, [(0, 0)], [1.0, 2.0])
     frame = spark.createDataFrame([(0, 1, 7), (1, 0, 8)], "px int, py int, v int")
     assert to_raster(frame, 2, 2, "v")[..., 0].tolist() == [[0, 8], [7, 0]]
+
+
+def test_transform_across_strips_and_bands(spark):
+    rng = np.random.default_rng(5)
+    width, height, padding = 150, 140, 3
+    places = np.unique(rng.integers(0, (width, height), (40, 2)), axis=0)
+    seeds = spark.createDataFrame([(i, int(x), int(y)) for i, (x, y) in enumerate(places)], "seed_id int, x int, y int")
+    got = voronoi.voronoi(seeds, width, height, padding, "transform").toPandas()
+    d = (got.px.to_numpy()[:, None] - places[:, 0]) ** 2 + (got.py.to_numpy()[:, None] - places[:, 1]) ** 2
+    best = d.min(axis=1)
+    last = len(places) - 1 - (d == best[:, None])[:, ::-1].argmax(axis=1)  # ties to the higher id
+    assert len(got) == len(got[["px", "py"]].drop_duplicates()) == (width + 2 * padding) * (height + 2 * padding)
+    assert (got.dist2 == best).all() and (got.seed_id == last).all()
+
+
+def test_blocks_across_tiles_and_holes(spark, monkeypatch):
+    monkeypatch.setattr(topology, "SCAN_TILE", 4)
+    rng = np.random.default_rng(6)
+    ids = {(x, y): int(rng.integers(0, 6)) for x in range(-5, 9) for y in range(-3, 10) if rng.random() > 0.05}
+    raster = spark.createDataFrame([(x, y, s) for (x, y), s in ids.items()], "px int, py int, seed_id int")
+    want = set()
+    for x, y in ids:
+        four = [ids.get(p) for p in ((x, y), (x + 1, y), (x, y + 1), (x + 1, y + 1))]
+        if None not in four and len(set(four)) >= 3:
+            want.add((x, y, tuple(dict.fromkeys(four))))
+    got = [(r.px, r.py, tuple(r.ids)) for r in topology.blocks(raster).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_filled_triangles_are_all_pixels_inside_or_on_the_border(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(assign, "FILL", 50)  # so that triangles and rows are laid out in parts
+    rng = np.random.default_rng(7)
+    corners = np.concatenate([rng.integers(0, 30, (60, 6)), [[0, 0, 29, 1, 29, 0], [0, 0, 29, 29, 28, 29], [3, 0, 3, 29, 4, 15]]])
+    turn = lambda ax, ay, bx, by, cx, cy: (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+    corners = corners[[turn(*t) != 0 for t in corners]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(corners)), pa.int32()), *(pa.array(c, pa.int32()) for c in corners.T)], ["triangle_id", *assign.CORNERS])
+    got = [(r["px"], r["py"], r["triangle_id"]) for part in assign._fill([batch]) for r in part.to_pylist()]
+    want = set()
+    for i, (ax, ay, bx, by, cx, cy) in enumerate(corners.tolist()):
+        for x in range(30):
+            for y in range(30):
+                sides = [turn(ax, ay, bx, by, x, y), turn(bx, by, cx, cy, x, y), turn(cx, cy, ax, ay, x, y)]
+                if min(sides) >= 0 or max(sides) <= 0:
+                    want.add((x, y, i))
+    assert len(got) == len(want) and set(got) == want
